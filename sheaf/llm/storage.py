@@ -10,7 +10,7 @@ import atexit
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: A join side is broadcast only if its estimated size is under this.
@@ -85,12 +85,9 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     last = None
     while True:
         both = e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        hood = both.groupBy("u").agg(F.collect_set("v").alias("vs"))
-        hood = hood.withColumn("m", F.least("u", F.array_min("vs")))
-        large = hood.select("u", "m", F.explode("vs").alias("v")).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        # small star: each node with its smaller neighbours
-        hood = large.groupBy("u").agg(F.collect_set("v").alias("vs")).withColumn("m", F.array_min("vs"))
-        small = hood.select("m", F.explode(F.array_append("vs", F.col("u"))).alias("u")).select("u", F.col("m").alias("v")).where("u <> v").distinct()
+        least = F.min("v").over(Window.partitionBy("u"))
+        large = both.withColumn("m", F.least("u", least)).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        small = large.withColumn("m", least).select(F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         new: list[str] = []
         e2 = stash(small, new)
         sign = e2.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
