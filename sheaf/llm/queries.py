@@ -7,13 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sheaf.llm import decontaminate, ngram_join, packing, quality, repeats
+from sheaf.llm import chat, decontaminate, embeddings, lm_score, ngram_join, packing, quality, repeats, sharding, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return toxicity.scored(docs, toxicity.train(docs, _table(spark, sf_dir, "labels")))
+
+
 def op2_quality_pu(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return quality.scored(docs, quality.train(docs, _table(spark, sf_dir, "labels")))
@@ -27,19 +32,63 @@ def op4_pack_bounded(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"))
 
 
+def op5_shard_lpt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard_documents(_table(spark, sf_dir, "documents"))
+
+
+def op6_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.bits_per_byte(_table(spark, sf_dir, "documents"))
+
+
+def op7_chat_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.chat_texts(_table(spark, sf_dir, "conversations"))
+
+
 def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_pairs(_table(spark, sf_dir, "documents")).withColumn("jaccard", F.round("jaccard", 6))
 
 
+def op9_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_vectors(_table(spark, sf_dir, "embeddings")).withColumn("cosine", F.round("cosine", 6))
+
+
 def op10_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.spans(_table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_quality_pu, op3_decontaminate_lsi, op4_pack_bounded, op8_ngram_join, op10_repeated_passages)
+    f.__name__: f
+    for f in (
+        op1_toxicity,
+        op2_quality_pu,
+        op3_decontaminate_lsi,
+        op4_pack_bounded,
+        op5_shard_lpt,
+        op6_context_mixing,
+        op7_chat_snapshots,
+        op8_ngram_join,
+        op9_near_vectors,
+        op10_repeated_passages,
+    )
 }
 
 ORACLES: dict[str, str] = {
+    "op7_chat_snapshots": r"""
+WITH t AS (SELECT DISTINCT conv_id, turn, coalesce(role, '') AS r, coalesce(text, '') AS x FROM conversations WHERE conv_id IS NOT NULL),
+c AS (SELECT conv_id, list({'r': r, 'x': x} ORDER BY turn NULLS FIRST, r, x) AS w FROM t GROUP BY conv_id),
+u AS (SELECT min(conv_id) AS conv_id, w FROM c GROUP BY w),
+p AS (SELECT DISTINCT w[1:i] AS pre FROM (SELECT w, unnest(range(1, len(w))) AS i FROM u))
+SELECT conv_id, len(w)::BIGINT AS turns, array_to_string(list_transform(w, lambda b: '<|' || CASE WHEN b.r = '' THEN 'user'
+    ELSE replace(b.r, '<|', '< |') END || '|>' || chr(10) || replace(b.x, '<|', '< |') || '<|end|>' || chr(10)), '') AS chat
+FROM u WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.pre = u.w)
+""",
+    "op9_near_vectors": r"""
+WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e, min(vec_id) OVER (PARTITION BY embedding) AS first FROM embeddings WHERE vec_id IS NOT NULL),
+f AS (SELECT vec_id, e FROM v WHERE vec_id = first)
+SELECT x.vec_id AS a, y.vec_id AS b, round(list_cosine_similarity(x.e, y.e), 6) AS cosine
+FROM f x JOIN f y ON x.vec_id < y.vec_id WHERE list_cosine_similarity(x.e, y.e) >= 0.95
+UNION ALL SELECT first AS a, vec_id AS b, 1.0::DOUBLE AS cosine FROM v WHERE first <> vec_id
+""",
     "op8_ngram_join": r"""
 WITH t AS (SELECT doc_id, regexp_extract_all(lower(text), '[0-9a-z\x{80}-\x{10FFFF}]+') AS w FROM documents WHERE doc_id IS NOT NULL),
 c AS (SELECT doc_id, w, min(doc_id) OVER (PARTITION BY w) AS first FROM t WHERE len(w) > 0),
