@@ -1 +1 @@
-
+"""Plans made of the operators."""
