@@ -308,9 +308,8 @@ def _sorter(least: int, most: int = 1 << 20):
 
 def repeated_ranges(docs: DataFrame, least: int, gram: int, keep: list[str]) -> DataFrame:
     """Runs of windows that occur again, of (id, text) rows with ``mark``, a hash of the text."""
-    spots = storage.stash(docs.mapInArrow(_anchor_rows(least, gram), _SPOT), keep)
-    often = storage.stash(spots.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"), keep)
-    wanted = spots.join(storage.hinted(often, often.count(), 8), "key", "left_semi")
+    spots = docs.mapInArrow(_anchor_rows(least, gram), _SPOT)
+    wanted = spots.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("key"))).where("n > 1")
     per_doc = storage.stash(wanted.groupBy("id", "mark").agg(F.collect_set(F.struct("key", "first", "last", "back")).alias("spots")), keep)
     size = per_doc.agg(F.sum(F.size("spots") * 24 + 32).alias("b")).first()["b"] or 0
     pieces = docs.join(storage.hinted(per_doc, 1, size), ["id", "mark"]).select("id", "mark", "text", "spots")

@@ -13,8 +13,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: A join side is broadcast only if its estimated size is under this.
-BROADCAST_BYTES = 48 << 20
+#: A join side is broadcast only if its estimated size is under this: each of a thousand executors gets a copy.
+BROADCAST_BYTES = 10 << 20
 
 _local: dict[str, str] = {}
 
