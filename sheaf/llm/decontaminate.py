@@ -4,12 +4,13 @@ All documents are cut into passages of ``PASSAGE`` words, weighted by TF-IDF ove
 randomised SVD finds the latent space: each passage is added with a random sign to one of ``SKETCH`` rows, the sums of all
 partitions are added up, and the right singular vectors of that small matrix are those of the corpus, nearly. Texts are
 mapped by them, scaled by the inverse singular values. Every window of every document is compared by cosine with the
-benchmark items of its length; candidates are checked on their words by longest common
+benchmark items of its length; candidates that share enough words in any order are checked by longest common
 subsequence, as a whole and on the item's answer (what follows its last inner sentence end, or else its last third).
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -24,7 +25,7 @@ from sheaf.llm import storage
 from sheaf.llm.tables import id_and_text
 from sheaf.llm.textops import Words, mix, slices, words
 
-TERMS, PASSAGE, SKETCH, RANK, BLOCK = 16384, 48, 96, 64, 16
+TERMS, PASSAGE, SKETCH, RANK, BLOCK, CHUNK = 16384, 48, 96, 64, 16, 256
 
 
 def _terms(w: Words) -> np.ndarray:
@@ -167,13 +168,40 @@ def _blocks(x: np.ndarray) -> np.ndarray:
     return x[:, 0] if len(x) else x.reshape(0, x.shape[-1])
 
 
+class _Chunk:
+    """Some items of one length class, with the words they hold."""
+
+    def __init__(self, items: list[Item], vectors: np.ndarray, least: float) -> None:
+        self.items, self.vectors = items, vectors
+        self.words, number = np.unique(np.concatenate([np.array(it.hashes, np.uint64) for it in items]), return_inverse=True)
+        owner = np.repeat(np.arange(len(items)), [len(it.hashes) for it in items])
+        self.times = np.zeros((len(items), len(self.words) + 1), np.uint16)  # how often each item holds each word; the last is no word
+        np.add.at(self.times, (owner, number), 1)
+        self.holds = np.ascontiguousarray((self.times > 0).T.astype(np.uint8))
+        self.need = np.array([math.ceil(least * len(it.hashes) - 1e-9) for it in items])
+
+    def numbers(self, hashes: np.ndarray) -> np.ndarray:
+        at = np.minimum(np.searchsorted(self.words, hashes), len(self.words) - 1)
+        return np.where(self.words[at] == hashes, at, len(self.words))
+
+    def shared(self, rows: np.ndarray, item: np.ndarray) -> np.ndarray:
+        """Size of the multiset intersection of each row of word numbers with its item: no common subsequence is longer."""
+        rows = np.sort(rows, axis=1)
+        place = np.arange(rows.shape[1])
+        new = np.ones(rows.shape, bool)
+        new[:, 1:] = rows[:, 1:] != rows[:, :-1]
+        rank = place - np.maximum.accumulate(np.where(new, place, 0), axis=1)
+        return (rank < self.times[item[:, None], rows]).sum(1)
+
+
 def _search(space: np.ndarray, items: list[Item], cosine: float, whole: float, part: float, answer: float):
     space = np.vstack([space, np.zeros((1, space.shape[1]), np.float32)])
-    classes: dict[int, list[int]] = {}
+    by_width: dict[int, list[int]] = {}
     for i, it in enumerate(items):
-        classes.setdefault(-(-len(it.hashes) // BLOCK) + 1, []).append(i)
+        by_width.setdefault(-(-len(it.hashes) // BLOCK) + 1, []).append(i)
     vectors = np.stack([space[np.array(it.hashes, np.uint64) >> np.uint64(50)].sum(0) for it in items])
     vectors /= np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-12)
+    classes = {w: [_Chunk([items[i] for i in own[k : k + CHUNK]], vectors[own[k : k + CHUNK]], min(whole, part)) for k in range(0, len(own), CHUNK)] for w, own in by_width.items()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -186,27 +214,39 @@ def _search(space: np.ndarray, items: list[Item], cosine: float, whole: float, p
                 count = -(-w.counts() // BLOCK)
                 first = np.concatenate([[0], np.cumsum(count)])
                 doc = w.doc()
+                place = first[doc] * BLOCK + np.arange(len(doc)) - w.first[doc]
                 padded = np.full(first[-1] * BLOCK, TERMS)
-                padded[first[doc] * BLOCK + np.arange(len(doc)) - w.first[doc]] = _terms(w)
+                padded[place] = _terms(w)
                 sums = _blocks(np.take(space, padded, axis=0).reshape(-1, BLOCK, space.shape[1]))
                 owner = np.repeat(np.arange(len(count)), count)
-                for width, own in classes.items():
-                    win = sums.copy()
-                    for k in range(1, width):
-                        more = sums[k:] * (owner[k:] == owner[:-k])[:, None]
-                        win[: len(more)] += more
+                for width, chunks in classes.items():
+                    inside = [owner[k:] == owner[:-k] for k in range(1, width)]
+                    win = _over_blocks(sums, inside)
                     # a window that runs past the end of a document with a longer one before it adds nothing
                     win /= np.maximum(np.sqrt(np.einsum("ij,ij->i", win, win)), 1e-12)[:, None]
-                    cos = win @ vectors[own].T
-                    for x, y in zip(*np.nonzero(cos >= cosine), strict=True):
-                        d = owner[x]
-                        begin = w.first[d] + (x - first[d]) * BLOCK
-                        it = items[own[y]]
-                        if got := judged(it, w.hash[begin : min(begin + width * BLOCK, w.first[d + 1])].tolist(), whole, part, answer):
-                            key = (int(ids[lo + d]), it.id)
-                            best = (*got, len(it.hashes))
-                            if key not in found or best > found[key]:
-                                found[key] = best
+                    for c in chunks:
+                        number = np.full(first[-1] * BLOCK, len(c.words))
+                        number[place] = c.numbers(w.hash)
+                        number = number.reshape(-1, BLOCK)
+                        many = _over_blocks(_blocks(np.take(c.holds, number.ravel(), axis=0).reshape(-1, BLOCK, len(c.items))).astype(np.uint16), inside)
+                        xs, ys = np.nonzero((win @ c.vectors.T >= cosine) & (many >= c.need))
+                        for at in range(0, len(xs), 1 << 14):
+                            x, y = xs[at : at + (1 << 14)], ys[at : at + (1 << 14)]
+                            spot = x[:, None] + np.arange(width)
+                            good = spot < len(owner)
+                            spot = np.minimum(spot, len(owner) - 1)
+                            good &= owner[spot] == owner[x][:, None]
+                            rows = np.where(good[:, :, None], number[spot], len(c.words)).reshape(len(x), -1)
+                            keep = c.shared(rows, y) >= c.need[y]
+                            for x1, y1 in zip(x[keep].tolist(), y[keep].tolist(), strict=True):
+                                d = owner[x1]
+                                begin = w.first[d] + (x1 - first[d]) * BLOCK
+                                it = c.items[y1]
+                                if got := judged(it, w.hash[begin : min(begin + width * BLOCK, w.first[d + 1])].tolist(), whole, part, answer):
+                                    key = (int(ids[lo + d]), it.id)
+                                    best = (*got, len(it.hashes))
+                                    if key not in found or best > found[key]:
+                                        found[key] = best
             if found:
                 keys = list(found)
                 yield pa.RecordBatch.from_arrays(
@@ -217,6 +257,14 @@ def _search(space: np.ndarray, items: list[Item], cosine: float, whole: float, p
     return run
 
 
+def _over_blocks(sums: np.ndarray, inside: list[np.ndarray]) -> np.ndarray:
+    """Of each block the sum of it and those after it in the same document, as many as a window has."""
+    out = sums.copy()
+    for k, same in enumerate(inside, 1):
+        out[: len(same)] += sums[k:] * same[:, None].astype(sums.dtype)
+    return out
+
+
 _FOUND = "id long, item_id long, common_words int, answer_words int, item_words int"
 
 
