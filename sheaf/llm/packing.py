@@ -31,6 +31,7 @@ class TokenCounter:
 
     The tokenizer's pattern never joins what white space separates, but for one space before a word. So the count of a text
     is the sum over its words, with their space, and over the rest of its white space; counts are kept in a table by hash.
+    Other white space than ASCII's can join with its neighbours: texts that hold it are encoded as they are.
     """
 
     SLOTS = 1 << 20
@@ -110,9 +111,21 @@ class TokenCounter:
         tail = np.where(c > 0, w.end[np.maximum(w.first[1:] - 1, 0)] if len(doc) else 0, w.byte_first[:-1])
         for k in np.flatnonzero(w.byte_first[1:] > tail).tolist():
             total[k] += self._gap(w.raw[tail[k] : w.byte_first[k + 1]].tobytes(), True)
+        for k in np.unique(np.searchsorted(w.byte_first, _wide_spaces(w.raw), "right") - 1).tolist():
+            total[k] = self._encoded(text[k].as_py())
         return total
 
 
+def _wide_spaces(raw: np.ndarray) -> np.ndarray:
+    """Where white space beyond ASCII begins: U+85, A0, 1680, 2000 to 200A, 2028, 2029, 202F, 205F and 3000 in UTF-8."""
+    two = np.flatnonzero(raw[:-1] == 0xC2)
+    two = two[np.isin(raw[two + 1], (0x85, 0xA0))]
+    three = np.flatnonzero((raw[:-2] >= 0xE1) & (raw[:-2] <= 0xE3))
+    code = (raw[three].astype(np.int32) << 16) | (raw[three + 1].astype(np.int32) << 8) | raw[three + 2]
+    spaces = (0xE19A80, *range(0xE28080, 0xE2808B), 0xE280A8, 0xE280A9, 0xE280AF, 0xE2819F, 0xE38080)
+    return np.concatenate([two, three[np.isin(code, spaces)]])
+
+
 def _count_rows(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = TokenCounter.at(path)
