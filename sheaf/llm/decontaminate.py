@@ -3,9 +3,11 @@
 All documents are cut into passages of ``PASSAGE`` words, weighted by TF-IDF over ``TERMS`` hashed terms. A
 randomised SVD finds the latent space: each passage is added with a random sign to one of ``SKETCH`` rows, the sums of all
 partitions are added up, and the right singular vectors of that small matrix are those of the corpus, nearly. Texts are
-mapped by them, scaled by the inverse singular values. Every window of every document is compared by cosine with the
-benchmark items of its length; candidates that share enough words in any order are checked by longest common
-subsequence, as a whole and on the item's answer (what follows its last inner sentence end, or else its last third).
+mapped by them, scaled by the inverse singular values. Every window of every document that shares enough words with an item
+of its length, in any order, is a candidate. Candidates are checked by longest common subsequence, as a whole and on the
+item's answer (what follows its last inner sentence end, or else its last third), those nearest by cosine in the latent
+space first; later ones are passed over only where their shared words show that they can't be better. The cosine
+drops nothing.
 """
 
 from __future__ import annotations
@@ -194,7 +196,7 @@ class _Chunk:
         return (rank < self.times[item[:, None], rows]).sum(1)
 
 
-def _search(space: np.ndarray, items: list[Item], cosine: float, whole: float, part: float, answer: float):
+def _search(space: np.ndarray, items: list[Item], cosine: float | None, whole: float, part: float, answer: float):
     space = np.vstack([space, np.zeros((1, space.shape[1]), np.float32)])
     by_width: dict[int, list[int]] = {}
     for i, it in enumerate(items):
@@ -229,7 +231,12 @@ def _search(space: np.ndarray, items: list[Item], cosine: float, whole: float, p
                         number[place] = c.numbers(w.hash)
                         number = number.reshape(-1, BLOCK)
                         many = _over_blocks(_blocks(np.take(c.holds, number.ravel(), axis=0).reshape(-1, BLOCK, len(c.items))).astype(np.uint16), inside)
-                        xs, ys = np.nonzero((win @ c.vectors.T >= cosine) & (many >= c.need))
+                        xs, ys = np.nonzero(many >= c.need)
+                        near = np.einsum("ij,ij->i", win[xs], c.vectors[ys])
+                        order = np.argsort(-near, kind="stable")
+                        if cosine is not None:
+                            order = order[near[order] >= cosine]
+                        xs, ys = xs[order], ys[order]
                         for at in range(0, len(xs), 1 << 14):
                             x, y = xs[at : at + (1 << 14)], ys[at : at + (1 << 14)]
                             spot = x[:, None] + np.arange(width)
@@ -237,13 +244,16 @@ def _search(space: np.ndarray, items: list[Item], cosine: float, whole: float, p
                             spot = np.minimum(spot, len(owner) - 1)
                             good &= owner[spot] == owner[x][:, None]
                             rows = np.where(good[:, :, None], number[spot], len(c.words)).reshape(len(x), -1)
-                            keep = c.shared(rows, y) >= c.need[y]
-                            for x1, y1 in zip(x[keep].tolist(), y[keep].tolist(), strict=True):
+                            most = c.shared(rows, y)
+                            keep = most >= c.need[y]
+                            for x1, y1, most1 in zip(x[keep].tolist(), y[keep].tolist(), most[keep].tolist(), strict=True):
                                 d = owner[x1]
                                 begin = w.first[d] + (x1 - first[d]) * BLOCK
                                 it = c.items[y1]
+                                key = (int(ids[lo + d]), it.id)
+                                if key in found and most1 < found[key][0]:
+                                    continue
                                 if got := judged(it, w.hash[begin : min(begin + width * BLOCK, w.first[d + 1])].tolist(), whole, part, answer):
-                                    key = (int(ids[lo + d]), it.id)
                                     best = (*got, len(it.hashes))
                                     if key not in found or best > found[key]:
                                         found[key] = best
@@ -268,11 +278,12 @@ def _over_blocks(sums: np.ndarray, inside: list[np.ndarray]) -> np.ndarray:
 _FOUND = "id long, item_id long, common_words int, answer_words int, item_words int"
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, *, cosine: float = 0.45, whole: float = 0.8, part: float = 0.6, answer: float = 0.6, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def leaks(docs: DataFrame, benchmark: DataFrame, *, cosine: float | None = None, whole: float = 0.8, part: float = 0.6, answer: float = 0.6, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, item_id, common_words, answer_words, item_words): documents that hold a benchmark item or a paraphrase of it.
 
     A window counts if it shares, in order, ``whole`` of the item's words, or ``part`` of them and ``answer`` of the words of
-    the answer; of an item under 8 words all. A row tells the best window of a document for an item. Null and empty texts and items, and rows without an id,
+    the answer; of an item under 8 words all. With a ``cosine``, only windows that near in the latent space count; that loses
+    some that hold an item, so none is set by default. A row tells the best window of a document for an item. Null and empty texts and items, and rows without an id,
     match nothing; rows that repeat an id give one result. Texts are searched to their end. An empty table on either side gives an empty
     result; other columns are not read. The items are sent to all executors, in parts of bounded size where they are many.
     """

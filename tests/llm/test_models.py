@@ -117,6 +117,37 @@ def test_leaks_against_brute_force(spark):
     assert decontaminate.without_leaks(d, b).columns == d.columns and decontaminate.without_leaks(d, b).count() == d.count()
 
 
+def test_no_leak_of_natural_texts_is_lost(spark):
+    r = random.Random(12)
+    size = 3000
+    rank = [1 / (i + 2) for i in range(size)]
+    text = lambda n: [f"w{i}" for i in r.choices(range(size), rank, k=n)]
+    items = [text(n) for n in range(16, 61) for _ in range(2)]
+    docs, planted = [], set()
+    for i, it in enumerate(items):
+        for share in (0.0, 0.2, 0.35):
+            changed = [w if r.random() >= share else r.choice(text(1)) for w in it]
+            dropped = [w for w in it if r.random() >= share]
+            for part in [changed, dropped] if share else [it]:
+                if not share:
+                    planted.add((len(docs), i))
+                base = text(300)
+                at = r.randrange(len(base))
+                docs.append(" ".join(base[:at] + part + base[at:]))
+    b = spark.createDataFrame([(i, " ".join(it)) for i, it in enumerate(items)], "item_id long, text string")
+    got = {(x["doc_id"], x["item_id"]): (x["common_words"], x["answer_words"]) for x in decontaminate.leaks(table(spark, list(enumerate(docs))), b).collect()}
+    want = {}
+    its = decontaminate.items_of(b)
+    for d, t in enumerate(docs):
+        h = decontaminate._item_words(t)
+        for it in its:
+            width = (-(-len(it.hashes) // decontaminate.BLOCK) + 1) * decontaminate.BLOCK
+            found = [x for k in range(0, len(h), decontaminate.BLOCK) if (x := decontaminate.judged(it, h[k : k + width], 0.8, 0.6, 0.6))]
+            if found:
+                want[d, it.id] = max(found)
+    assert planted <= set(want) and got == want
+
+
 def test_multiset_bound():
     r = random.Random(3)
     its = [decontaminate.Item(i, tuple(r.randrange(1, 9) for _ in range(12)), 6) for i in range(5)]
