@@ -35,9 +35,10 @@ def read_csv(spark: SparkSession, path: str) -> DataFrame:
     """(path, page_no, content, is_spreadsheet): a file is a sheet, its rows lines. The order of lines is that of the file."""
     lines = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("v"))
     rows = lines.select("path", F.posexplode(F.split("v", "\r?\n")).alias("at", "line"))
-    width = 64
-    cells = F.from_csv("line", ", ".join(f"c{i} string" for i in range(width)), {"mode": "PERMISSIVE"})
-    used = F.filter(F.array(*[cells[f"c{i}"] for i in range(width)]), lambda x: x.isNotNull())
+    # no line has more cells than commas and one; counting them is a pass over the files
+    width = rows.agg(F.max(F.size(F.split("line", ",")))).first()[0] or 1
+    cells = F.from_csv("line", ", ".join(f"c{i} string" for i in range(width)), {"mode": "PERMISSIVE", "maxColumns": str(width + 1)})
+    used = F.map_values(F.from_json(F.to_json(cells), "map<string,string>"))  # JSON leaves out nulls and keeps the order
     rows = rows.select("path", "at", F.array_join(used, " | ").alias("line")).where(X.strip(F.col("line")) != "")
     return rows.groupBy("path").agg(F.array_join(P.ordered("line", "at"), "\n").alias("content")).select("path", F.lit(1).alias("page_no"), "content", F.lit(True).alias("is_spreadsheet"))
 

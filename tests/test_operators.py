@@ -188,3 +188,12 @@ def test_files(spark, tmp_path):
     with pytest.raises(ValueError):
         files.read_data(spark, [{"wrong_key": "value"}])
     assert dict(mime.MIME)["pdf"] == "application/pdf"
+
+
+def test_csv_of_many_columns(spark, tmp_path):
+    cells = [[f"{r}-{i}" for i in range(n)] for r, n in enumerate((3, 64, 65, 300))]
+    (tmp_path / "wide.csv").write_text("\n".join(",".join(c) for c in cells) + '\n"a ""b, c' + "d" * 9 + '",é\\x\n', encoding="utf-8")
+    lines = files.load(spark, str(tmp_path / "wide.csv")).first()["content"].split("\n")
+    assert lines[:4] == [" | ".join(c) for c in cells] and lines[4].endswith(" | é\\x")
+    (tmp_path / "none.csv").write_text("", encoding="utf-8")
+    assert files.load(spark, str(tmp_path / "none.csv")).count() == 0
