@@ -48,6 +48,10 @@ def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_pairs(_table(spark, sf_dir, "documents")).withColumn("jaccard", F.round("jaccard", 6))
 
 
+def op8_ngram_join_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_pairs(_table(spark, sf_dir, "documents"), every=True).withColumn("jaccard", F.round("jaccard", 6))
+
+
 def op9_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.near_vectors(_table(spark, sf_dir, "embeddings")).withColumn("cosine", F.round("cosine", 6))
 
@@ -67,6 +71,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op6_context_mixing,
         op7_chat_snapshots,
         op8_ngram_join,
+        op8_ngram_join_all,
         op9_near_vectors,
         op10_repeated_passages,
     )
@@ -99,6 +104,15 @@ i AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS k FROM g x JOIN g y ON x.
 SELECT a, b, round(k / (s.n + u.n - k)::DOUBLE, 6) AS jaccard FROM i JOIN s ON s.doc_id = a JOIN s u ON u.doc_id = b
 WHERE k / (s.n + u.n - k)::DOUBLE >= 0.5
 UNION ALL SELECT first AS a, doc_id AS b, 1.0::DOUBLE AS jaccard FROM c WHERE first <> doc_id
+""",
+    "op8_ngram_join_all": r"""
+WITH t AS (SELECT doc_id, regexp_extract_all(lower(text), '[0-9a-z\x{80}-\x{10FFFF}]+') AS w FROM documents WHERE doc_id IS NOT NULL),
+g AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+        ELSE list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' ')) END) AS gram FROM t WHERE len(w) > 0),
+s AS (SELECT doc_id, count(*) AS n FROM g GROUP BY 1),
+i AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS k FROM g x JOIN g y ON x.gram = y.gram AND x.doc_id < y.doc_id GROUP BY 1, 2)
+SELECT a, b, round(k / (s.n + u.n - k)::DOUBLE, 6) AS jaccard FROM i JOIN s ON s.doc_id = a JOIN s u ON u.doc_id = b
+WHERE k / (s.n + u.n - k)::DOUBLE >= 0.5
 """,
     "op10_repeated_passages": r"""
 WITH t AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '[\t\n\x0B\f\r\x1C-\x1F ]+'), lambda x: x <> '') AS w

@@ -35,6 +35,25 @@ def test_near_pairs_against_brute_force(spark):
     assert len(got) >= 0.9 * len(want) and all(abs(got[k] - want[k]) < 1e-9 for k in got)
 
 
+def test_near_pairs_of_all_rows(spark):
+    r = random.Random(6)
+    texts = []
+    for _ in range(8):
+        base = prose(r, r.randrange(30, 90)).split()
+        near = [[w if r.random() > 0.04 else f"x{r.randrange(900)}" for w in base] for _ in range(2)]
+        texts += [" ".join(x) for x in (near[0], base, base, near[1], base, near[0])]
+    r.shuffle(texts)
+    sets = [grams(t) for t in texts]
+    want = {(i, j): len(sets[i] & sets[j]) / len(sets[i] | sets[j]) for i in range(len(sets)) for j in range(i + 1, len(sets)) if len(sets[i] & sets[j]) >= 0.5 * len(sets[i] | sets[j])}
+    rows = ngram_join.near_pairs(table(spark, list(enumerate(texts))), every=True).collect()
+    got = {(x["a"], x["b"]): x["jaccard"] for x in rows}
+    assert len(got) == len(rows) and not set(got) - set(want)
+    assert len(got) >= 0.9 * len(want) and all(abs(got[k] - want[k]) < 1e-9 for k in got)
+    assert {k for k in want if texts[k[0]] == texts[k[1]]} <= set(got)
+    assert {(x["a"], x["b"]): x["jaccard"] for x in ngram_join.near_pairs(awkward(spark), every=True).collect()} == {(4, 5): 1.0}
+    assert ngram_join.near_pairs(empty(spark), every=True).count() == 0
+
+
 def test_near_pairs_of_awkward_tables(spark):
     got = {(x["a"], x["b"]): x["jaccard"] for x in ngram_join.near_pairs(awkward(spark)).collect()}
     assert got == {(4, 5): 1.0}
