@@ -3,8 +3,13 @@
 The kernel of two strings sums, over all triples of characters that both hold in order, with gaps or without,
 DECAY to the power of the lengths they span in each; it is normalised to 1 for equal strings. So a word stays close
 to an insult when characters are inserted, dropped or spelled apart. A sentence is scored by its most toxic word, a text
-by its most toxic sentence: labelled sentences say that some word is toxic, not which. Words whose character 4-grams
-occur in toxic sentences and practically never in clean ones begin as the positives.
+by its most toxic sentence.
+
+Labels say that a text holds a toxic sentence, not which, and not which word makes it so. So the machine learns from many
+instances at a time: every toxic text is stood for by the best word of its best sentence, other sentences by theirs if
+these score as toxic, too. The choice begins with the words' odds of being in toxic texts and is made anew by the machine
+after each fit; a text in which it finds nothing is taken for wrongly labelled in that round. All words of clean texts are
+negatives. The threshold comes from labelled texts that were held out.
 
 Landmarks span the feature space. The decision function is linear in the kernel features, so the trained
 machine is folded into one weight for each triple of symbols, which gives the same scores at a fraction of the cost.
@@ -27,28 +32,27 @@ from sheaf.llm.tables import id_and_text
 from sheaf.llm.textops import NOT_SPACE, Words, slices, words
 
 SYMBOLS, DECAY, LONGEST = 64, 0.7, 24
-#: At most so many toxic and clean labelled documents, least hashes of the id first, train the machine.
-TOXIC, CLEAN = 3000, 4000
-LANDMARKS = 96
-#: Of the words of these: frequent positives that are varied, nearest clean words, and others.
-VARIED, NEAREST, SPREAD = 200, 12000, 6000
+#: At most so many toxic and clean labelled documents, least hashes of the id first, train the machine; one of so many of them is held out.
+TOXIC, CLEAN, HELD = 3000, 4000, 5
+LANDMARKS, ROUNDS = 128, 4
+
+
+@cache
+def _symbol(c: str) -> int:
+    o = ord(c)
+    if 97 <= o <= 122:
+        return o - 96
+    if 48 <= o <= 57:
+        return o - 21
+    return 37 + (o * 40503 >> 4) % 27 if o > 127 else 0
 
 
-def symbols(word: str) -> list[int]:
+def symbols(word: str) -> bytes:
     """Letters and digits as small numbers; other ASCII characters are skipped, other letters share 27 symbols."""
-    out = []
-    for c in word:
-        o = ord(c)
-        if 97 <= o <= 122:
-            out.append(o - 96)
-        elif 48 <= o <= 57:
-            out.append(o - 21)
-        elif o > 127:
-            out.append(37 + (o * 40503 >> 4) % 27)
-    return out
+    return bytes(filter(None, map(_symbol, word)))
 
 
-def pieces(word: str) -> list[list[int]]:
+def pieces(word: str) -> list[bytes]:
     """The word's symbols; a long word as overlapping pieces of LONGEST."""
     s = symbols(word)
     if len(s) <= LONGEST:
@@ -80,35 +84,38 @@ def _features(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return t, np.broadcast_to(weight, t.shape), np.maximum(norm, 1e-12)
 
 
-def _by_length(units: list[list[int]]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _by_length(units: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     size = np.array([len(u) for u in units], np.int64)
     for n in np.unique(size):
         at = np.flatnonzero(size == n)
         step = max(1, 400_000 // max(1, n * n * n // 6))
         for lo in range(0, len(at), step):
             part = at[lo : lo + step]
-            yield part, np.array([units[p] for p in part], np.int64).reshape(len(part), n)
-
-
-def kernel(units: list[list[int]], landmarks: list[list[int]]) -> np.ndarray:
-    """Normalised kernel of all units with all landmarks."""
-    table = np.zeros((SYMBOLS**3, len(landmarks)), np.float32)
-    for at, codes in _by_length(landmarks):
-        t, w, norm = _features(codes)
-        for r, l_ in enumerate(at):
-            np.add.at(table[:, l_], t[r], w[r] / norm[r])
+            yield part, np.frombuffer(b"".join([units[p] for p in part]), np.uint8).astype(np.int64).reshape(len(part), n)
+
+
+def kernel(units: list[bytes], landmarks: list[bytes]) -> np.ndarray:
+    """Normalised kernel of all units with all landmarks. Memory: a row for each triple that a landmark holds, and blocks of units."""
+    parts = [(at, *_features(codes)) for at, codes in _by_length(landmarks)]
+    held = np.unique(np.concatenate([t.ravel() for _, t, _, _ in parts])) if parts else np.zeros(0, np.int64)
+    row = np.full(SYMBOLS**3, len(held), np.int32)  # the last row is of triples that no landmark holds
+    row[held] = np.arange(len(held))
+    table = np.zeros((len(held) + 1, len(landmarks)), np.float32)
+    for at, t, w, norm in parts:
+        np.add.at(table, (row[t], at[:, None]), w / norm[:, None])
     out = np.zeros((len(units), len(landmarks)), np.float32)
     for at, codes in _by_length(units):
         t, w, norm = _features(codes)
-        for lo in range(0, len(at), 256):
-            out[at[lo : lo + 256]] = np.einsum("ij,ijl->il", w[lo : lo + 256], table[t[lo : lo + 256]]) / norm[lo : lo + 256, None]
+        step = max(1, 4_000_000 // (t.shape[1] * max(1, len(landmarks))))
+        for lo in range(0, len(at), step):
+            out[at[lo : lo + step]] = np.matmul(w[0], table[row[t[lo : lo + step]]]) / norm[lo : lo + step, None]
     return out
 
 
-def direct_kernel(a: list[int], b: list[int]) -> float:
+def direct_kernel(a: bytes, b: bytes) -> float:
     """The kernel of two strings by its recursion over prefixes, for tests."""
 
-    def raw(s: list[int], t: list[int]) -> float:
+    def raw(s: bytes, t: bytes) -> float:
         before = np.ones((len(s) + 1, len(t) + 1))
         for order in range(1, 3):
             now = np.zeros_like(before)
@@ -120,7 +127,7 @@ def direct_kernel(a: list[int], b: list[int]) -> float:
             before = now
         return sum(DECAY**2 * before[x, y] for x in range(len(s)) for y in range(len(t)) if s[x] == t[y])
 
-    a, b = ([*u, *[0] * (3 - len(u))] for u in (a, b))
+    a, b = (u + bytes(3 - len(u)) if len(u) < 3 else u for u in (a, b))
     return raw(a, b) / np.sqrt(raw(a, a) * raw(b, b))
 
 
@@ -132,7 +139,7 @@ class Machine:
     bias: float
     threshold: float
 
-    def score(self, units: list[list[int]]) -> np.ndarray:
+    def score(self, units: list[bytes]) -> np.ndarray:
         out = np.full(len(units), -1.0)
         for at, codes in _by_length(units):
             t, w, norm = _features(codes)
@@ -145,90 +152,192 @@ class Machine:
         return np.maximum.reduceat(flat, np.concatenate([[0], np.cumsum([len(p) for p in parts])[:-1]]).astype(np.int64)) if parts else flat
 
 
-def svm(x: np.ndarray, y: np.ndarray, cost: np.ndarray, ridge: float = 1.0) -> np.ndarray:
-    """Linear machine (weights, bias) with the squared hinge loss, by Newton steps on the active set."""
-    x = np.hstack([x, np.ones((len(x), 1))])
-    theta = np.zeros(x.shape[1])
-    eye = ridge * np.eye(x.shape[1])
+def svm(parts: list[tuple[np.ndarray, float, np.ndarray]], ridge: float = 1.0) -> np.ndarray:
+    """Linear machine (weights, bias) with the squared hinge loss of (features, label, costs) parts, by Newton steps on the active set."""
+    width = parts[0][0].shape[1] + 1
+    theta = np.zeros(width)
+    eye = ridge * np.eye(width)
     eye[-1, -1] = 1e-6
-    for _ in range(40):
-        on = y * (x @ theta) < 1
-        xa = x[on] * cost[on, None]
-        new = np.linalg.solve(eye + xa.T @ x[on], xa.T @ y[on])
-        if np.abs(new - theta).max() < 1e-8:
-            break
+    for _ in range(30):
+        left, right = eye.copy(), np.zeros(width)
+        for x, y, cost in parts:
+            on = np.flatnonzero(y * (x @ theta[:-1].astype(x.dtype) + theta[-1]) < 1)
+            for lo in range(0, len(on), 1 << 14):
+                k = on[lo : lo + (1 << 14)]
+                xa = np.hstack([x[k], np.ones((len(k), 1), x.dtype)]).astype(np.float64)
+                weighted = xa * cost[k, None]
+                left += weighted.T @ xa
+                right += y * weighted.sum(0)
+        new = np.linalg.solve(left, right)
+        moved = np.abs(new - theta).max()
         theta = new
+        if moved < 1e-5 * max(1.0, np.abs(theta).max()):
+            break
     return theta
 
 
-def _grams(word: str) -> set[str]:
-    s = "".join(c for c in word if c.isalnum())
-    return {s[i : i + 4] for i in range(max(1, len(s) - 3))} if s else set()
-
-
-def learn(vocabulary: list[tuple[str, int, int]], landmarks: int = LANDMARKS, margin: float = 0.1) -> Machine:
-    """The machine from (word, toxic sentences, clean sentences) counts. Without toxic words it finds nothing."""
-    toxic: dict[str, int] = {}
-    clean: dict[str, int] = {}
-    grams = {w: _grams(w) for w, _, _ in vocabulary}
-    for w, a, b in vocabulary:
-        for g in grams[w]:
-            toxic[g] = toxic.get(g, 0) + a
-            clean[g] = clean.get(g, 0) + b
-    sure = {g for g, a in toxic.items() if a >= 6 and clean[g] <= 0.02 * a}
-    positive = sorted({(w, a) for w, a, b in vocabulary if b == 0 and a and grams[w] & sure}, key=lambda x: (-x[1], x[0]))
-    negative = sorted({w for w, a, b in vocabulary if b > 0 and not grams[w] & sure})
-    if not positive or not negative:
-        return Machine(np.zeros(SYMBOLS**3, np.float32), -1.0, 0.0)
-    seen = max(a for _, a in positive)
-    units = {tuple(pieces(w)[0]): float(min(a, 50)) for w, a in reversed(positive)}
-    for w, a in positive[:VARIED]:  # inserted characters, so that the margin leaves room for them
-        if a * 20 >= seen:
-            u = pieces(w)[0]
+@dataclass
+class Bags:
+    """Sentences as sets of units. ``unit[first[i]:first[i + 1]]`` are those of sentence i, of the text ``text[i]``."""
+
+    units: list[bytes]
+    unit: np.ndarray
+    first: np.ndarray
+    text: np.ndarray
+    toxic: np.ndarray  # of each text
+    held: np.ndarray  # of each text
+
+    @classmethod
+    def of(cls, text: np.ndarray, toxic: np.ndarray, held: np.ndarray, words_of: pa.ListArray) -> Bags:
+        """From the text, its label, whether it is held out, and the words of each sentence. Units are numbered in the order of words, so rows may come in any."""
+        coded = words_of.flatten().dictionary_encode()
+        names = coded.dictionary.to_pylist()
+        by = sorted(range(len(names)), key=names.__getitem__)
+        numbers: dict[bytes, int] = {}
+        own = [[numbers.setdefault(u, len(numbers)) for u in pieces(names[k]) if u] for k in by]
+        many = np.zeros(len(names), np.int64)
+        many[by] = [len(x) for x in own]
+        start = np.zeros(len(names), np.int64)
+        start[by] = np.cumsum(many[by]) - many[by]
+        flat = np.array([n for x in own for n in x], np.int64)
+        word = coded.indices.to_numpy()
+        of_word = np.repeat(np.arange(len(text)), np.diff(words_of.offsets.to_numpy()))
+        n = many[word]
+        unit = flat[np.repeat(start[word] - np.cumsum(n) + n, n) + np.arange(n.sum())]
+        bag = np.repeat(of_word, n)
+        key = np.unique(bag * max(1, len(numbers)) + unit)
+        _, number = np.unique(text, return_inverse=True)
+        size = int(number.max(initial=-1)) + 1
+        marks = np.zeros((2, size), bool)
+        marks[0][number], marks[1][number] = toxic, held
+        first = np.searchsorted(key, np.arange(len(text) + 1) * max(1, len(numbers)))
+        return cls([*numbers], key % max(1, len(numbers)), first, number, marks[0], marks[1])
+
+    def texts_with(self, wanted: np.ndarray) -> np.ndarray:
+        """How many of the wanted texts hold each unit."""
+        doc = self.text[np.repeat(np.arange(len(self.text)), np.diff(self.first))]
+        key = np.unique(doc[wanted[doc]] * len(self.units) + self.unit[wanted[doc]])
+        return np.bincount(key % max(1, len(self.units)), minlength=len(self.units))
+
+    def best(self, score: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The unit of greatest score of each sentence that has any, and those sentences. Ties: the unit seen first."""
+        has = np.flatnonzero(np.diff(self.first))
+        owner = np.repeat(np.arange(len(self.text)), np.diff(self.first))
+        order = np.lexsort((self.unit, -score[self.unit], owner))
+        return self.unit[order[np.searchsorted(owner[order], has)]], has
+
+    def of_texts(self, score: np.ndarray) -> np.ndarray:
+        """The greatest score of each text."""
+        out = np.full(len(self.toxic), -np.inf)
+        unit, has = self.best(score)
+        np.maximum.at(out, self.text[has], score[unit])
+        return out
+
+
+def _witnesses(bags: Bags, score: np.ndarray, least: float, others: float) -> np.ndarray:
+    """For each unit, how many toxic training texts it stands for: as best of the text, or of another sentence with a score over ``others``. Texts under ``least`` have none."""
+    unit, has = bags.best(score)
+    top = bags.of_texts(score)
+    text = bags.text[has]
+    fine = bags.toxic[text] & ~bags.held[text] & (top[text] >= least) & ((score[unit] >= top[text]) | (score[unit] > others))
+    key = np.unique(text[fine] * len(bags.units) + unit[fine])
+    return np.bincount(key % max(1, len(bags.units)), minlength=len(bags.units))
+
+
+def _varied(units: list[bytes], weight: np.ndarray, share: float) -> dict[bytes, float]:
+    """The units, and those of a ``share`` of the greatest weight or more with one character inserted, so that the margin leaves room for it."""
+    out = dict(zip(units, map(float, weight), strict=True))
+    for u, w in zip(units, weight, strict=True):
+        if w >= share * weight.max():
             for i in range(1, len(u)):
                 for c in (u[i - 1], 24, 17):
-                    units.setdefault(tuple(u[:i] + [c] + u[i:]), min(a, 50) / len(u))
-    pos_units, weight = [list(u) for u in units], np.array([*units.values()])
-    neg_units = [u for w in negative for u in pieces(w)]
-    # of the clean words the machine learns from those closest to the positives, and from a spread of the others
-    order = np.argsort(-weight, kind="stable")
-    nearness = _folded([pos_units[k] for k in order[:400]], weight[order[:400]] / weight[order[:400]].sum(), -1.0).score(neg_units)
-    by = np.argsort(-nearness, kind="stable")
-    close, others = by[:NEAREST], by[NEAREST:]
-    use = [neg_units[k] for k in close] + [neg_units[k] for k in others[:: max(1, len(others) // SPREAD)]]
-    # half of the landmarks: positives that are common and far from each other; the others: clean words closest to these
-    pool = [pos_units[k] for k in order[:1500]]
-    near = kernel(pool, pool)
-    gain = np.log1p(weight[order[:1500]])
-    chosen = [0]
-    closest = near[0].copy()
-    while len(chosen) < min(landmarks // 2, len(closest)):
+                    out.setdefault(u[:i] + bytes([c]) + u[i:], float(w) / len(u))
+    return out
+
+
+def _farthest(pool: list[bytes], gain: np.ndarray, most: int) -> list[int]:
+    """Members with much gain and far from each other, by one kernel column for each that is chosen."""
+    parts = [(at, t.astype(np.int32), w[0], norm) for at, codes in _by_length(pool) for t, w, norm in [_features(codes)]]
+    chosen: list[int] = []
+    closest = np.zeros(len(pool), np.float32)
+    while len(chosen) < min(most, len(pool)):
         k = int(np.argmax(gain * (1 - closest)))
-        if closest[k] > 0.995:
+        if gain[k] <= 0 or closest[k] > 0.995:
             break
         chosen.append(k)
-        closest = np.maximum(closest, near[k])
-    marks = [pool[k] for k in chosen]
-    kn = kernel(use, marks)
-    marks += [use[k] for k in np.argsort(-kn.max(1), kind="stable")[: landmarks - len(marks)]]
-    values, vectors = np.linalg.eigh(kernel(marks, marks).astype(np.float64))
-    ok = values > 1e-4
-    whiten = vectors[:, ok] / np.sqrt(values[ok])
-    kp, kn = kernel(pos_units, marks) @ whiten, kernel(use, marks) @ whiten
-    x = np.vstack([kp, kn])
-    y = np.concatenate([np.ones(len(kp)), -np.ones(len(kn))])
-    cost = np.concatenate([2000 * weight / weight.sum(), np.full(len(kn), 1000.0 / len(kn))])
-    theta = svm(x, y, cost)
-    for _ in range(2):  # a clean word that is mistaken costs all texts that hold it
-        wrong = kn @ theta[:-1] + theta[-1] > -0.5
-        cost[len(kp) :][wrong] = np.minimum(cost[len(kp) :][wrong] * 8, 10.0)
-        theta = svm(x, y, cost)
-    machine = _folded(marks, whiten @ theta[:-1], float(theta[-1]))
-    top = float(machine.score(neg_units).max())
-    return Machine(machine.weight, machine.bias, max(0.0, top + margin))
-
-
-def _folded(units: list[list[int]], alpha: np.ndarray, bias: float) -> Machine:
+        own = _folded([pool[k]], np.ones(1), 0.0).weight
+        for at, t, w, norm in parts:
+            closest[at] = np.maximum(closest[at], own[t] @ w / norm)
+    return chosen
+
+
+def _mapped(units: list[bytes], marks: list[bytes], whiten: np.ndarray) -> np.ndarray:
+    """Nystroem features."""
+    out = np.zeros((len(units), whiten.shape[1]), np.float32)
+    for lo in range(0, len(units), 1 << 15):
+        out[lo : lo + (1 << 15)] = kernel(units[lo : lo + (1 << 15)], marks) @ whiten
+    return out
+
+
+def threshold_of(toxic: np.ndarray, clean: np.ndarray, alarm: float = 10.0) -> float:
+    """A score of least loss, missed shares of toxic texts counting 1 and flagged ones of clean texts ``alarm``: the one next to 0, a quarter of the way from its neighbours at least; 0 without both."""
+    if not len(toxic) or not len(clean):
+        return 0.0
+    at = np.unique(np.concatenate([toxic, clean, [-1.0, 1.0]]))
+    low, high = at[:-1], at[1:]
+    cut = np.clip(0.0, low + (high - low) / 4, high - (high - low) / 4)
+    loss = np.searchsorted(np.sort(toxic), cut) / len(toxic) + alarm * (1 - np.searchsorted(np.sort(clean), cut) / len(clean))
+    return float(min(cut[loss <= loss.min() + 1e-9], key=abs))
+
+
+def learn(bags: Bags, landmarks: int = LANDMARKS, rounds: int = ROUNDS, near: float = 0.4, share: float = 0.05) -> Machine:
+    """The machine from labelled sentences. Without toxic or clean ones it finds nothing."""
+    nothing = Machine(np.zeros(SYMBOLS**3, np.float32), -1.0, 0.0)
+    a, b = bags.texts_with(bags.toxic & ~bags.held), bags.texts_with(~bags.toxic & ~bags.held)
+    negative = np.flatnonzero(b)
+    if not a.any() or not len(negative):
+        return nothing
+    score = np.log((a + 0.5) / (b + 0.5))
+    clean_units = [bags.units[k] for k in negative]
+    cost = np.sqrt(b[negative].astype(np.float64))
+    cost *= 1000 / cost.sum()
+    toxic_units = np.unique(bags.unit[np.repeat(bags.toxic[bags.text], np.diff(bags.first))])
+    marks: list[bytes] = []
+    machine = nothing
+    for r in range(rounds):
+        support = _witnesses(bags, score, -np.inf if r == 0 else -0.5, np.inf if r == 0 else 0.0)
+        chosen = np.flatnonzero(support)
+        if not len(chosen):
+            break
+        varied = _varied([bags.units[k] for k in chosen], support[chosen], share)
+        pos, weight = [*varied], np.array([*varied.values()])
+        if r < 2:  # landmarks: half of them positives, the others clean words near to these
+            pool = [bags.units[k] for k in chosen]
+            marks = [pool[k] for k in _farthest(pool, np.log1p(support[chosen]), landmarks // 2)]
+            close = kernel(clean_units, marks).max(1)
+            there = np.flatnonzero(close >= near)
+            marks += [clean_units[there[k]] for k in _farthest([clean_units[k] for k in there], close[there], landmarks - len(marks))]
+            values, vectors = np.linalg.eigh(kernel(marks, marks).astype(np.float64))
+            ok = values > 1e-4
+            whiten = (vectors[:, ok] / np.sqrt(values[ok])).astype(np.float32)
+            xn = _mapped(clean_units, marks, whiten)
+        xp = _mapped(pos, marks, whiten)
+        for _ in range(3):
+            theta = svm([(xp, 1.0, 2000 * weight / weight.sum()), (xn, -1.0, cost)])
+            wrong = xn @ theta[:-1].astype(np.float32) + theta[-1] > -0.5
+            # a clean word that is mistaken costs all texts that hold it
+            cost[wrong] = np.minimum(cost[wrong] * 4, 20.0)
+        machine = _folded(marks, whiten @ theta[:-1], float(theta[-1]))
+        score = np.full(len(bags.units), -np.inf)
+        score[toxic_units] = machine.score([bags.units[k] for k in toxic_units])
+    out = np.unique(bags.unit[np.repeat(bags.held[bags.text], np.diff(bags.first))])
+    score[out] = machine.score([bags.units[k] for k in out])
+    top = bags.of_texts(score)
+    has = bags.held & np.isfinite(top)
+    return Machine(machine.weight, machine.bias, threshold_of(top[has & bags.toxic], top[has & ~bags.toxic]))
+
+
+def _folded(units: list[bytes], alpha: np.ndarray, bias: float) -> Machine:
     """One weight for each triple from the weights of units."""
     table = np.zeros(SYMBOLS**3)
     for at, codes in _by_length(units):
@@ -297,25 +406,38 @@ class WordScores:
         return s
 
 
-def sentence_words(docs: DataFrame) -> DataFrame:
-    """(id, word): the distinct lower-case words of the sentences of each text."""
-    sentence = F.explode(F.split(F.lower("text"), r"[.!?\n]+")).alias("sentence")
-    return docs.select("id", sentence).select("id", F.explode(F.split("sentence", r"\s+")).alias("word")).where("word <> ''").distinct()
+_END = re.compile(r"[.!?\n]+")
+_BAG = "id long, t int, words array<string>"
+
+
+def _sentence_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The distinct lower-case words of each sentence of a toxic text, and of a clean text as a whole."""
+    for b in batches:
+        for one, t, text in zip(b["id"].to_pylist(), b["t"].to_pylist(), b["text"], strict=True):
+            s = text.as_py().lower()
+            bags = [sorted({*x.split(), *_spelled(x)}) for x in (_END.split(s) if t else [s])]
+            bags = [x for x in bags if x]
+            if bags:
+                yield pa.RecordBatch.from_arrays([pa.array([one] * len(bags), pa.int64()), pa.array([t] * len(bags), pa.int32()), pa.array(bags, pa.list_(pa.string()))], names=["id", "t", "words"])
 
 
-def train(docs: DataFrame, labels: DataFrame, *, toxic: int = TOXIC, clean: int = CLEAN, id_col: str = "doc_id", text_col: str = "text") -> Machine:
-    """A machine from documents whose sentences ``labels.toxic`` marks, at most ``toxic`` and ``clean`` of them.
+def train(docs: DataFrame, labels: DataFrame, *, toxic: int = TOXIC, clean: int = CLEAN, held: int = HELD, id_col: str = "doc_id", text_col: str = "text") -> Machine:
+    """A machine from the sentences of documents that ``labels.toxic`` marks, at most ``toxic`` and ``clean`` of them.
 
-    Null labels don't count; an id that is labelled both ways is toxic.
+    One in ``held`` of these is kept back for the threshold. Labels without an id or a mark don't count; an id that is labelled
+    both ways is toxic. Null, empty and blank texts have no sentences; words of any length are learned whole, in overlapping pieces. Rows that repeat an
+    id add their sentences to one text. An empty table on either side, or labels of one sort only, give a machine that flags nothing. Other columns are not read.
     """
-    marks = labels.select(labels[id_col].cast("long").alias("id"), labels["toxic"].alias("t")).where("id is not null and t is not null").groupBy("id").agg(F.max("t").alias("t"))
+    marks = labels.select(labels[id_col].cast("long").alias("id"), labels["toxic"].cast("int").alias("t")).where("id is not null and t is not null").groupBy("id").agg(F.max("t").alias("t"))
     one = lambda v, n: marks.where(F.col("t") == v).orderBy(F.xxhash64("id"), "id").limit(n)
     take = one(1, toxic).union(one(0, clean))
     # the sample is bounded by the two parameters, and so is what is broadcast
-    d = id_and_text(docs, id_col, text_col).join(F.broadcast(take), "id")
-    w = sentence_words(d.select("id", "text")).join(F.broadcast(take), "id")
-    rows = w.groupBy("word").agg(F.sum(F.when(F.col("t") == 1, 1).otherwise(0)).alias("a"), F.sum(F.when(F.col("t") == 1, 0).otherwise(1)).alias("b")).collect()
-    return learn(sorted((r["word"], r["a"], r["b"]) for r in rows))
+    d = id_and_text(docs, id_col, text_col).join(F.broadcast(take), "id").select("id", "t", "text")
+    got = d.mapInArrow(_sentence_rows, _BAG).select("id", "t", "words", F.pmod(F.xxhash64("id", F.lit("held")), F.lit(held)).alias("part")).toArrow()
+    if not got.num_rows:
+        return learn(Bags.of(np.zeros(0, np.int64), np.zeros(0, bool), np.zeros(0, bool), pa.array([], pa.list_(pa.string()))))
+    got = got.combine_chunks()
+    return learn(Bags.of(got["id"].to_numpy(), got["t"].to_numpy() == 1, got["part"].to_numpy() == 0, got["words"].combine_chunks()))
 
 
 _scorers: dict[int, WordScores] = {}

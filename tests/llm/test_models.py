@@ -49,6 +49,62 @@ def test_kernel_against_its_recursion():
     k = toxicity.kernel(units, units)
     want = np.array([[toxicity.direct_kernel(a, b) for b in units] for a in units])
     assert np.allclose(k, want, atol=1e-5)
+    # the folded machine gives the sums over kernel values
+    weights = np.arange(6) - 2.5
+    m = toxicity._folded(units, weights, 0.25)
+    tested = [toxicity.symbols(w) for w in ("bandit", "anna", "x", "lean")]
+    full = np.array([[toxicity.direct_kernel(a, b) for b in units] for a in tested])
+    assert np.allclose(m.score(tested), full @ weights + 0.25, atol=1e-4)
+
+
+def test_landmarks_give_the_kernel_back():
+    r = random.Random(5)
+    units = [toxicity.symbols("".join(r.choice("abcde") for _ in range(r.randrange(3, 8)))) for _ in range(40)]
+    full = np.array([[toxicity.direct_kernel(a, b) for b in units] for a in units])
+    values, vectors = np.linalg.eigh(toxicity.kernel(units, units).astype(np.float64))
+    ok = values > 1e-4
+    z = toxicity._mapped(units, units, (vectors[:, ok] / np.sqrt(values[ok])).astype(np.float32))
+    assert np.abs(z @ z.T - full).max() < 0.02  # with all units as landmarks nothing is lost
+    few = toxicity._farthest(units, np.ones(40), 20)
+    assert len(set(few)) == 20
+    closest = np.zeros(40)
+    for k in few:  # each is the farthest from those before it
+        assert (1 - closest[k]) >= (1 - closest).max() - 1e-4
+        closest = np.maximum(closest, full[k])
+
+
+def test_margin_machine_against_gradient():
+    r = np.random.default_rng(2)
+    xp, xn = r.normal(1, 1, (80, 3)), r.normal(-1, 1, (120, 3))
+    cp, cn = np.ones(80), np.full(120, 0.5)
+    theta = toxicity.svm([(xp, 1.0, cp), (xn, -1.0, cn)])
+    x, y, c = np.vstack([xp, xn]), np.repeat([1.0, -1.0], [80, 120]), np.concatenate([cp, cn])
+    slack = np.maximum(0, 1 - y * (x @ theta[:3] + theta[3]))
+    g = np.concatenate([theta[:3], [1e-6 * theta[3]]]) - np.concatenate([x.T @ (c * y * slack), [(c * y * slack).sum()]])
+    assert np.abs(g).max() < 1e-3
+
+
+def test_witnesses_and_thresholds():
+    b = toxicity.Bags.of(np.array([7, 7, 3, 9]), np.array([True, True, False, True]), np.array([False, False, False, True]), pa.array([["bad", "the"], ["also"], ["the", "also"], ["bad"]]))
+    assert b.texts_with(b.toxic & ~b.held).sum() == 3 and b.texts_with(~b.toxic).sum() == 2
+    bad = b.units.index(toxicity.symbols("bad"))
+    score = np.full(3, -1.0)
+    score[bad] = 2.0
+    assert toxicity._witnesses(b, score, -0.5, 0.0)[bad] == 1  # the held-out text has none
+    assert list(b.of_texts(score)) == [-1.0, 2.0, 2.0]
+    assert toxicity.threshold_of(np.array([2.0, 3.0]), np.array([-2.0, -1.5])) == 0.0
+    assert 1.0 < toxicity.threshold_of(np.array([2.0, 3.0]), np.array([-2.0, 1.0])) < 2.0
+    assert toxicity.threshold_of(np.zeros(0), np.ones(1)) == 0.0
+
+
+def test_whole_long_words_are_learned(spark):
+    r = random.Random(3)
+    start = "".join(r.choice("abcdef") for _ in range(30))
+    train = [f"{t} {start}{'zorblaxersnerf' if k < 60 else 'mimolatinoda'}." for k, t in enumerate(" ".join(sentences(r, 1, False))[:-1] for _ in range(180))]
+    labels = spark.createDataFrame([(i, int(i < 60)) for i in range(180)], "doc_id long, toxic int")
+    m = toxicity.train(table(spark, list(enumerate(train))), labels)
+    got = {x["doc_id"]: x["toxic"] for x in toxicity.scored(table(spark, [(0, f"ma {start}zorblaxersnerf"), (1, f"ma {start}mimolatinoda")]), m).collect()}
+    assert got == {0: True, 1: False}
 
 
 def good(r):
