@@ -45,11 +45,7 @@ def op7_chat_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join.near_pairs(_table(spark, sf_dir, "documents")).withColumn("jaccard", F.round("jaccard", 6))
-
-
-def op8_ngram_join_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join.near_pairs(_table(spark, sf_dir, "documents"), every=True).withColumn("jaccard", F.round("jaccard", 6))
+    return ngram_join.near_classes(_table(spark, sf_dir, "documents"))
 
 
 def op9_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,7 +67,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op6_context_mixing,
         op7_chat_snapshots,
         op8_ngram_join,
-        op8_ngram_join_all,
         op9_near_vectors,
         op10_repeated_passages,
     )
@@ -95,24 +90,19 @@ FROM f x JOIN f y ON x.vec_id < y.vec_id WHERE list_cosine_similarity(x.e, y.e)
 UNION ALL SELECT first AS a, vec_id AS b, 1.0::DOUBLE AS cosine FROM v WHERE first <> vec_id
 """,
     "op8_ngram_join": r"""
-WITH t AS (SELECT doc_id, regexp_extract_all(lower(text), '[0-9a-z\x{80}-\x{10FFFF}]+') AS w FROM documents WHERE doc_id IS NOT NULL),
-c AS (SELECT doc_id, w, min(doc_id) OVER (PARTITION BY w) AS first FROM t WHERE len(w) > 0),
-g AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
-        ELSE list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' ')) END) AS gram FROM c WHERE doc_id = first),
-s AS (SELECT doc_id, count(*) AS n FROM g GROUP BY 1),
-i AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS k FROM g x JOIN g y ON x.gram = y.gram AND x.doc_id < y.doc_id GROUP BY 1, 2)
-SELECT a, b, round(k / (s.n + u.n - k)::DOUBLE, 6) AS jaccard FROM i JOIN s ON s.doc_id = a JOIN s u ON u.doc_id = b
-WHERE k / (s.n + u.n - k)::DOUBLE >= 0.5
-UNION ALL SELECT first AS a, doc_id AS b, 1.0::DOUBLE AS jaccard FROM c WHERE first <> doc_id
-""",
-    "op8_ngram_join_all": r"""
-WITH t AS (SELECT doc_id, regexp_extract_all(lower(text), '[0-9a-z\x{80}-\x{10FFFF}]+') AS w FROM documents WHERE doc_id IS NOT NULL),
+WITH RECURSIVE t AS (SELECT DISTINCT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[0-9a-z\x{80}-\x{10FFFF}]+') AS w FROM documents WHERE doc_id IS NOT NULL),
+c AS (SELECT doc_id, w, CASE WHEN len(w) = 0 THEN doc_id ELSE min(doc_id) OVER (PARTITION BY w) END AS first FROM t),
 g AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
-        ELSE list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' ')) END) AS gram FROM t WHERE len(w) > 0),
+        ELSE list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' ')) END) AS gram FROM c WHERE doc_id = first AND len(w) > 0),
 s AS (SELECT doc_id, count(*) AS n FROM g GROUP BY 1),
-i AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS k FROM g x JOIN g y ON x.gram = y.gram AND x.doc_id < y.doc_id GROUP BY 1, 2)
-SELECT a, b, round(k / (s.n + u.n - k)::DOUBLE, 6) AS jaccard FROM i JOIN s ON s.doc_id = a JOIN s u ON u.doc_id = b
-WHERE k / (s.n + u.n - k)::DOUBLE >= 0.5
+i AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS k FROM g x JOIN g y ON x.gram = y.gram AND x.doc_id < y.doc_id GROUP BY 1, 2),
+p AS (SELECT a, b FROM i JOIN s ON s.doc_id = a JOIN s u ON u.doc_id = b WHERE k / (s.n + u.n - k)::DOUBLE >= 0.5),
+e AS (SELECT a AS x, b AS y FROM p UNION ALL SELECT b AS x, a AS y FROM p),
+r AS (SELECT x, y FROM e UNION SELECT r.x, e.y FROM r JOIN e ON r.y = e.x),
+k AS (SELECT x, min(y) AS least FROM r GROUP BY x),
+l AS (SELECT x, count(*) AS links FROM e GROUP BY x)
+SELECT DISTINCT c.doc_id, least(first, coalesce(k.least, first)) AS class_id, coalesce(links, 0)::BIGINT AS links
+FROM c LEFT JOIN k ON k.x = first LEFT JOIN l ON l.x = first
 """,
     "op10_repeated_passages": r"""
 WITH t AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '[\t\n\x0B\f\r\x1C-\x1F ]+'), lambda x: x <> '') AS w

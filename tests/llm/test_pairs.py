@@ -17,52 +17,88 @@ def grams(text):
     return {tuple(w[i : i + 3]) for i in range(max(1, len(w) - 2))} if w else set()
 
 
-def test_near_pairs_against_brute_force(spark):
+def brute_classes(rows, least=0.5):
+    """(id, class, links) of all rows, by all pairs of texts."""
+    rows = {(i, t or "") for i, t in rows if i is not None}
+    key = lambda t: tuple(re.findall(r"[0-9a-z\x80-\U0010ffff]+", t.lower()))
+    ids = {}
+    for i, t in rows:
+        if key(t):
+            ids.setdefault(key(t), set()).add(i)
+    keys = sorted(ids)
+    sets = [grams(" ".join(k)) for k in keys]
+    edges = [(x, y) for x in range(len(keys)) for y in range(x) if len(sets[x] & sets[y]) >= least * len(sets[x] | sets[y])]
+    root = list(range(len(keys)))
+    for _ in keys:
+        for x, y in edges:
+            root[x] = root[y] = min(root[x], root[y])
+    first = {}
+    for x, k in enumerate(keys):
+        first[root[x]] = min(first.get(root[x], 10**9), *ids[k])
+    links = [sum(x in e for e in edges) for x in range(len(keys))]
+    at = {k: x for x, k in enumerate(keys)}
+    return {(i, first[root[at[key(t)]]], links[at[key(t)]]) if key(t) else (i, i, 0) for i, t in rows}
+
+
+def edited(r, base, rate):
+    return [w if r.random() >= rate else f"x{r.randrange(900)}" for w in base]
+
+
+def test_near_classes_against_brute_force(spark):
     r = random.Random(2)
     docs = []
     for _ in range(25):
         base = prose(r, r.randrange(20, 120)).split()
-        docs.append(base)
-        for rate in (0.01, 0.03, 0.06, 0.1):
-            docs.append([w if r.random() > rate else f"x{r.randrange(900)}" for w in base])
-    texts = [" ".join(d) for d in docs]
-    sets = [grams(t) for t in texts]
-    first = {}
-    of = [first.setdefault(tuple(t.split()), i) for i, t in enumerate(texts)]  # equal texts are paired with their first only
-    want = {(i, j): len(sets[i] & sets[j]) / len(sets[i] | sets[j]) for i in range(len(sets)) for j in range(i + 1, len(sets)) if len(sets[i] & sets[j]) >= 0.5 * len(sets[i] | sets[j]) and (of[j] == i or (of[i], of[j]) == (i, j))}
-    got = {(x["a"], x["b"]): x["jaccard"] for x in ngram_join.near_pairs(table(spark, list(enumerate(texts)))).collect()}
-    assert not set(got) - set(want)
-    assert len(got) >= 0.9 * len(want) and all(abs(got[k] - want[k]) < 1e-9 for k in got)
-
-
-def test_near_pairs_of_all_rows(spark):
-    r = random.Random(6)
-    texts = []
-    for _ in range(8):
-        base = prose(r, r.randrange(30, 90)).split()
-        near = [[w if r.random() > 0.04 else f"x{r.randrange(900)}" for w in base] for _ in range(2)]
-        texts += [" ".join(x) for x in (near[0], base, base, near[1], base, near[0])]
-    r.shuffle(texts)
-    sets = [grams(t) for t in texts]
-    want = {(i, j): len(sets[i] & sets[j]) / len(sets[i] | sets[j]) for i in range(len(sets)) for j in range(i + 1, len(sets)) if len(sets[i] & sets[j]) >= 0.5 * len(sets[i] | sets[j])}
-    rows = ngram_join.near_pairs(table(spark, list(enumerate(texts))), every=True).collect()
-    got = {(x["a"], x["b"]): x["jaccard"] for x in rows}
-    assert len(got) == len(rows) and not set(got) - set(want)
-    assert len(got) >= 0.9 * len(want) and all(abs(got[k] - want[k]) < 1e-9 for k in got)
-    assert {k for k in want if texts[k[0]] == texts[k[1]]} <= set(got)
-    assert {(x["a"], x["b"]): x["jaccard"] for x in ngram_join.near_pairs(awkward(spark), every=True).collect()} == {(4, 5): 1.0}
-    assert ngram_join.near_pairs(empty(spark), every=True).count() == 0
-
-
-def test_near_pairs_of_awkward_tables(spark):
-    got = {(x["a"], x["b"]): x["jaccard"] for x in ngram_join.near_pairs(awkward(spark)).collect()}
-    assert got == {(4, 5): 1.0}
-    assert ngram_join.near_pairs(empty(spark)).count() == 0
+        docs += [base, *(edited(r, base, rate) for rate in (0.01, 0.03, 0.06, 0.1)), base]
+    rows = [(i, " ".join(d)) for i, d in enumerate(docs)]
+    got = {tuple(x) for x in ngram_join.near_classes(table(spark, rows)).collect()}
+    want = brute_classes(rows)
+    assert len(got & want) >= 0.98 * len(want) and len(got) == len(rows)
+
+
+def test_crowded_classes_are_exact(spark):
+    # one group far larger than a block, tight and loose members, in buckets that are cut into parts
+    r = random.Random(3)
+    base = prose(r, 100).split()
+    other = base[:70] + prose(r, 30).split()
+    docs = [base] * 3 + [edited(r, base, 0.02) for _ in range(60)] + [edited(r, other, 0.02) for _ in range(30)] + [edited(r, base, 0.12) for _ in range(40)] + [prose(r, 40).split() for _ in range(20)]
+    r.shuffle(docs)
+    rows = [(i, " ".join(d)) for i, d in enumerate(docs)]
+    want = brute_classes(rows)
+    got = {tuple(x) for x in ngram_join.near_classes(table(spark, rows), block_docs=12, crowd=30, rounds=2).collect()}
+    assert got == want
+
+
+def test_comparisons_of_a_crowd_grow_with_it(spark, monkeypatch):
+    sent = []
+    whole = ngram_join._with_text
+    monkeypatch.setattr(ngram_join, "_with_text", lambda docs, units: sent.append(units.count()) or whole(docs, units))
+    r = random.Random(4)
+    base = prose(r, 100).split()
+    counts = []
+    for n in (60, 240):
+        rows = [(i, " ".join(edited(r, base, 0.01))) for i in range(n)]
+        sent.clear()
+        got = ngram_join.near_classes(table(spark, rows), block_docs=16).collect()
+        assert len(got) == n and all(x["class_id"] == 0 for x in got)
+        counts.append(sum(sent))
+    assert counts[1] < 5 * counts[0]  # all pairs of blocks would be 16 times as many
+
+
+def test_near_classes_of_awkward_tables(spark):
+    got = {tuple(x) for x in ngram_join.near_classes(awkward(spark)).collect()}
+    assert {(4, 4, 0), (5, 4, 0)} <= got and {(i, i, 0) for i in (1, 2, 3, 6, 7, 8, 9)} <= got and len(got) == 9
+    assert ngram_join.near_classes(empty(spark)).count() == 0
     d = awkward(spark)
     left = ngram_join.without_near_copies(d)
     assert left.columns == d.columns
     ids = [x["doc_id"] for x in left.collect()]
-    assert ids.count(None) == 2 and ids.count(4) == 2 and 5 not in ids and len(ids) == d.count() - 1
+    assert ids.count(None) == 2 and ids.count(4) == 2 and 5 not in ids and ids.count(6) == 2 and len(ids) == d.count() - 1
+    assert ngram_join.without_near_copies(empty(spark)).count() == 0
+
+
+def test_prefixes_are_shortened_to_the_recall():
+    assert [ngram_join.depth_for(j, 32, 5, 3, 0.98) for j in (0.9, 0.7, 0.5)] == [5, 5, 3]
 
 
 def brute_spans(rows, least=50):
