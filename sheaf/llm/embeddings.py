@@ -6,7 +6,9 @@ and vector over that factor estimates the inner product of the two without bias,
 Pairs whose upper confidence bound misses the threshold are done with; only the others are recomputed exactly.
 
 Which pairs meet at all is decided by bands of signs under other random projections: as many bits a band as the number of
-vectors asks for, and as many bands as the target recall at the threshold asks for.
+vectors asks for, and as many bands as the target recall at the threshold asks for. Pairs that the bounds leave in connect candidate groups, and so
+does a bucket of far more vectors than expected, as a whole. Within the groups ``crowds`` counts the links by the angle as its distance; there, too, the
+bounds decide which pairs are recomputed.
 """
 
 from __future__ import annotations
@@ -19,7 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sheaf.llm import storage
+from sheaf.llm import crowds, storage
+from sheaf.llm.textops import mix
 
 
 def rotation(dim: int, seed: int = 9) -> np.ndarray:
@@ -34,7 +37,8 @@ def encode(unit: np.ndarray, turn: np.ndarray, ids: np.ndarray) -> tuple[np.ndar
     factor = np.abs(z).sum(1) / math.sqrt(z.shape[1])
     low = z.min(1)
     step = np.maximum((z.max(1) - low) / 15, 1e-12)
-    noise = np.stack([np.random.default_rng(int(i) & (2**63 - 1)).random(z.shape[1]) for i in ids]) if len(ids) else z
+    spot = ids.astype(np.uint64)[:, None] * np.uint64(0x9E3779B97F4A7C15) + np.arange(z.shape[1], dtype=np.uint64) * np.uint64(0xD1342543DE82EF95)
+    noise = (mix(spot) >> np.uint64(11)) * 2.0**-53
     levels = np.clip(np.floor((z - low[:, None]) / step[:, None] + noise), 0, 15).astype(np.uint8)
     return signs, factor, levels, low, step
 
@@ -61,53 +65,69 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return np.asarray(column.flatten().to_numpy(zero_copy_only=False), np.float64).reshape(len(column), -1)
 
 
-_ROW = "band int, bucket long, id long, signs binary, levels binary, factor double, low double, step double"
+_CODE = "signs binary, levels binary, factor double, low double, step double"
+_CODES = [x.split()[0] for x in _CODE.split(", ")]
 
 
-def _band_rows(dim: int, bits: int, bands: int):
+def _code_rows(dim: int):
+    """The code of each vector beside it."""
     turn = rotation(dim)
-    planes = np.random.default_rng(99).standard_normal((bands * bits, dim))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if not b.num_rows:
                 continue
             v = _matrix(b["v"])
-            unit = v / np.linalg.norm(v, axis=1, keepdims=True)
-            ids = b["id"].to_numpy()
-            signs, factor, levels, low, step = encode(unit, turn, ids)
+            signs, factor, levels, low, step = encode(v / np.linalg.norm(v, axis=1, keepdims=True), turn, b["node"].to_numpy())
             packed = [r.tobytes() for r in np.packbits(signs, axis=1)]
-            four = [r.tobytes() for r in (levels[:, 0::2] << 4 | np.pad(levels, ((0, 0), (0, dim % 2)))[:, 1::2])]
-            side = (unit @ planes.T >= 0).reshape(len(ids), bands, bits)
+            four = [r.tobytes() for r in (np.pad(levels, ((0, 0), (0, dim % 2)))[:, 0::2] << 4 | np.pad(levels, ((0, 0), (0, dim % 2)))[:, 1::2])]
+            yield pa.RecordBatch.from_arrays([b["node"], b["id"], b["v"], pa.array(packed, pa.binary()), pa.array(four, pa.binary()), pa.array(factor), pa.array(low), pa.array(step)], names=["node", "id", "v", *_CODES])
+
+    return run
+
+
+def _band_rows(dim: int, bits: int, bands: int, codes: bool):
+    """One row a band: the bucket, and with ``codes`` what the estimates need."""
+    planes = np.random.default_rng(99).standard_normal((bands * bits, dim))
+    more = _CODES if codes else []
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            side = (_matrix(b["v"]) @ planes.T >= 0).reshape(b.num_rows, bands, bits)
             key = (side * (np.int64(1) << np.arange(bits, dtype=np.int64))).sum(2)
-            same = [pa.array(ids), pa.array(packed, pa.binary()), pa.array(four, pa.binary()), pa.array(factor), pa.array(low), pa.array(step)]
             for k in range(bands):
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), k, np.int32)), pa.array(key[:, k]), *same], names=["band", "bucket", "id", "signs", "levels", "factor", "low", "step"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(b.num_rows, k, np.int32)), pa.array(key[:, k]), b["node"], *(b[c] for c in more)], names=["band", "bucket", "node", *more])
 
     return run
 
 
-def _bucket_pairs(dim: int, least: float, sure: float, block: int = 1024):
+def _codes_of(t: pa.Table, dim: int) -> tuple[np.ndarray, ...]:
+    stacked = lambda c: np.frombuffer(b"".join(t[c].to_pylist()), np.uint8).reshape(t.num_rows, -1)
+    signs = np.unpackbits(stacked("signs"), axis=1)[:, :dim].astype(bool)
+    four = stacked("levels")
+    levels = np.stack([four >> 4, four & 15], axis=2).reshape(t.num_rows, -1)[:, :dim]
+    return signs, t["factor"].to_numpy(), levels, t["low"].to_numpy(), t["step"].to_numpy()
+
+
+def _bucket_links(dim: int, least: float, sure: float, block: int = 1024):
+    """(a, b): links that span what the bounds leave in of a bucket; of each two blocks of it."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
-    def pairs(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = pa.Table.from_batches(parts).combine_chunks()
+    def links(t: pa.Table) -> Iterator[pa.RecordBatch]:
         if t.num_rows < 2:
             return
-        ids = t["id"].to_numpy()
-        signs = np.unpackbits(np.stack([np.frombuffer(x.as_buffer(), np.uint8) for x in t["signs"]]), axis=1)[:, :dim].astype(bool)
-        four = np.stack([np.frombuffer(x.as_buffer(), np.uint8) for x in t["levels"]])
-        levels = np.stack([four >> 4, four & 15], axis=2).reshape(len(ids), -1)[:, :dim]
-        factor, low, step = (t[c].to_numpy() for c in ("factor", "low", "step"))
-        for i in range(0, len(ids), block):
-            for j in range(i, len(ids), block):
-                mean, half = estimate(signs, factor, levels, low, step, slice(i, i + block), slice(j, j + block), sure)
+        node, code = t["node"].to_numpy(), _codes_of(t, dim)
+        for i in range(0, len(node), block):
+            for j in range(i, len(node), block):
+                mean, half = estimate(*code, slice(i, i + block), slice(j, j + block), sure)
                 x, y = np.nonzero(mean + half >= least)
-                a, b = ids[x + i], ids[y + j]
-                ok = a != b if i != j else x < y
-                a, b = np.minimum(a, b)[ok], np.maximum(a, b)[ok]
-                if len(a):
-                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], schema=schema)
+                own = np.unique(np.concatenate([x + i, y + j]))
+                root = own[crowds.roots(np.searchsorted(own, x + i), np.searchsorted(own, y + j), len(own))]
+                far = root != own
+                if far.any():
+                    yield pa.RecordBatch.from_arrays([pa.array(node[own[far]]), pa.array(node[root[far]])], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, parts = None, []
@@ -118,31 +138,57 @@ def _bucket_pairs(dim: int, least: float, sure: float, block: int = 1024):
                 if lo == hi:
                     continue
                 if tuple(k[:, lo]) != key and parts:
-                    yield from pairs(parts)
+                    yield from links(pa.Table.from_batches(parts).combine_chunks())
                     parts = []
                 key = tuple(k[:, lo])
                 parts.append(b.slice(lo, hi - lo))
         if parts:
-            yield from pairs(parts)
+            yield from links(pa.Table.from_batches(parts).combine_chunks())
 
     return run
 
 
-def _exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        if b.num_rows:
-            x, y = _matrix(b["x"]), _matrix(b["y"])
-            c = (x * y).sum(1) / (np.linalg.norm(x, axis=1) * np.linalg.norm(y, axis=1))
-            yield pa.RecordBatch.from_arrays([b["a"], b["b"], pa.array(c)], names=["a", "b", "cosine"])
+def _comparer(dim: int, least: float, sure: float):
+    def work(t: pa.Table) -> pa.RecordBatch:
+        node, side, cell, need = (t[c].to_numpy() for c in ("node", "side", "cell", "need"))
+        mean, half = estimate(*_codes_of(t, dim), slice(None), slice(None), sure)
+        open_ = (mean + half >= least) & crowds.asked(node, side, cell, need)
+        x, y = np.nonzero(open_)
+        v = np.concatenate([_matrix(c) for c in t["v"].chunks])
+        v /= np.linalg.norm(v, axis=1, keepdims=True)
+        for lo in range(0, len(x), 1 << 16):
+            i, j = x[lo : lo + (1 << 16)], y[lo : lo + (1 << 16)]
+            open_[i, j] = (v[i] * v[j]).sum(1) >= least
+        return crowds.linked(node, open_ | open_.T)
+
+    return crowds.units(work)
+
+
+def _angles():
+    """Angles from the pivots as shares of a half turn."""
+
+    def work(t: pa.Table) -> pa.RecordBatch:
+        v = np.concatenate([_matrix(c) for c in t["v"].chunks])
+        v /= np.linalg.norm(v, axis=1, keepdims=True)
+        side = t["side"].to_numpy()
+        pivot, rest = np.flatnonzero(side == 1), np.flatnonzero(side == 0)
+        d = np.ones((len(rest), crowds.PIVOTS))
+        d[:, t["cell"].to_numpy()[pivot]] = np.arccos(np.clip(v[rest] @ v[pivot].T, -1, 1)) / np.pi
+        return crowds.measured(t["node"].to_numpy()[rest], d)
+
+    return crowds.units(work)
 
 
-def near_vectors(table: DataFrame, *, least: float = 0.95, recall: float = 0.999, sure: float = 4.0, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """(a, b, cosine), a < b: vectors whose cosine is ``least`` or more, exactly computed.
+def vector_classes(
+    table: DataFrame, *, least: float = 0.95, recall: float = 0.999, sure: float = 4.0, crowd: int = 1 << 14, block: int = 512, rounds: int = 6, id_col: str = "vec_id", vector_col: str = "embedding"
+) -> DataFrame:
+    """(id, class_id, links) of the rows with an id and a vector.
 
-    Equal vectors are one class: each is paired with the least id of its class (cosine 1), and only that one is compared further.
+    Two vectors are linked if their cosine, exactly computed, is ``least`` or more. ``links`` is the number of other vectors, apart from equal ones, that the
+    row's is linked with; ``class_id`` the least id of all rows that links and equal vectors connect it to.
     Left out are rows without an id, and vectors that are null, zero, hold a null or no number, or have another length than most (of
-    equally frequent lengths the least). Rows that repeat an id are compared each; an id is not paired with itself. ``sure`` is the half width of
-    the confidence bounds in standard deviations. An empty table gives an empty result; other columns are not read.
+    equally frequent lengths the least). Rows that repeat an id and vector count once; an id with different vectors has a row for each class and number of links.
+    ``sure`` is the half width of the confidence bounds in standard deviations. An empty table gives an empty result; other columns are not read.
     """
     spark = table.sparkSession
     keep: list[str] = []
@@ -151,17 +197,25 @@ def near_vectors(table: DataFrame, *, least: float = 0.95, recall: float = 0.999
     v = v.where(fine)
     most = v.groupBy(F.size("v").alias("dim")).count().orderBy(F.desc("count"), "dim").first()
     if most is None:
-        return spark.createDataFrame([], "a long, b long, cosine double")
+        return spark.createDataFrame([], f"{id_col} long, class_id long, links long")
     dim = most["dim"]
-    v = storage.stash(v.where(F.size("v") == dim).withColumn("key", F.sha2(F.concat_ws(",", F.col("v").cast("array<string>")), 256)), keep)
-    classes = v.groupBy("key").agg(F.min("id").alias("a"))
-    copies = v.select("key", F.col("id").alias("b")).join(classes, "key").where("a <> b").select("a", "b", F.lit(1.0).alias("cosine")).distinct()
-    firsts = storage.stash(v.join(classes.withColumnRenamed("a", "id"), ["key", "id"], "left_semi").select("id", "key", "v").dropDuplicates(["id", "key"]).select("id", "v"), keep)
-    bits, bands = band_plan(firsts.count(), least, recall)
-    rows = firsts.mapInArrow(_band_rows(dim, bits, bands), _ROW).repartition("band", "bucket").sortWithinPartitions("band", "bucket")
-    found = storage.stash(rows.mapInArrow(_bucket_pairs(dim, least, sure), "a long, b long").distinct(), keep)
-    both = found.join(firsts.select(F.col("id").alias("a"), F.col("v").alias("x")), "a").join(firsts.select(F.col("id").alias("b"), F.col("v").alias("y")), "b")
-    near = both.select("a", "b", "x", "y").mapInArrow(_exact, "a long, b long, cosine double").where(F.col("cosine") >= least)
-    out = storage.stash(near.union(copies).groupBy("a", "b").agg(F.max("cosine").alias("cosine")))
+    v = v.where(F.size("v") == dim).withColumn("key", F.sha2(F.concat_ws(",", F.col("v").cast("array<string>")), 256))
+    one = storage.stash(v.groupBy("key").agg(F.min("id").alias("id"), F.first("v").alias("v")).withColumn("node", F.monotonically_increasing_id()), keep)
+    nodes = storage.stash(one.select("node", "id", "v").mapInArrow(_code_rows(dim), f"node long, id long, v array<double>, {_CODE}"), keep)
+    bits, bands = band_plan(nodes.count(), least, recall)
+    spots = nodes.select("node", "v").mapInArrow(_band_rows(dim, bits, bands, False), "band int, bucket long, node long")
+    full = storage.stash(spots.groupBy("band", "bucket").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("first")).where(F.col("n") > crowd), keep)
+    rows = nodes.drop("id").mapInArrow(_band_rows(dim, bits, bands, True), f"band int, bucket long, node long, {_CODE}")
+    crowded = storage.hinted(full.select("band", "bucket", "first"), full.count(), 24)
+    some = rows.join(crowded.drop("first"), ["band", "bucket"], "left_anti").repartition("band", "bucket").sortWithinPartitions("band", "bucket")
+    stars = spots.join(crowded, ["band", "bucket"]).select(F.col("node").alias("a"), F.col("first").alias("b")).where("a <> b").distinct()
+    groups = storage.connected_components(some.mapInArrow(_bucket_links(dim, least, sure), "a long, b long").union(stars))
+    member = nodes.select("node", F.col("node").alias("id"), F.lit(0).cast("long").alias("s1"), F.lit(dim * 8).alias("size")).join(groups.withColumnRenamed("component", "group"), "node")
+    code = nodes.drop("id")
+    attach = lambda units: crowds.gathered(code.join(storage.hinted(units, units.count(), 72), "node"), "v", *_CODES)
+    metric = crowds.Metric(attach, _comparer(dim, least, sure), _angles(), math.acos(min(1.0, least)) / math.pi)
+    found = storage.stash(crowds.verified(storage.stash(member, keep), metric, block, block * dim * 16, rounds, keep), keep)
+    placed = crowds.placed(one.select("node", "key", "id"), found, keep)
+    out = storage.stash(v.select("id", "key").join(placed.select("key", "class_id", "links"), "key").select(F.col("id").alias(id_col), "class_id", "links").distinct())
     storage.discard(spark, keep)
     return out

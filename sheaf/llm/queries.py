@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from sheaf.llm import chat, decontaminate, embeddings, lm_score, ngram_join, packing, quality, repeats, sharding, toxicity
 
@@ -49,7 +48,7 @@ def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return embeddings.near_vectors(_table(spark, sf_dir, "embeddings")).withColumn("cosine", F.round("cosine", 6))
+    return embeddings.vector_classes(_table(spark, sf_dir, "embeddings"))
 
 
 def op10_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,11 +82,15 @@ SELECT conv_id, len(w)::BIGINT AS turns, array_to_string(list_transform(w, lambd
 FROM u WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.pre = u.w)
 """,
     "op9_near_vectors": r"""
-WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e, min(vec_id) OVER (PARTITION BY embedding) AS first FROM embeddings WHERE vec_id IS NOT NULL),
-f AS (SELECT vec_id, e FROM v WHERE vec_id = first)
-SELECT x.vec_id AS a, y.vec_id AS b, round(list_cosine_similarity(x.e, y.e), 6) AS cosine
-FROM f x JOIN f y ON x.vec_id < y.vec_id WHERE list_cosine_similarity(x.e, y.e) >= 0.95
-UNION ALL SELECT first AS a, vec_id AS b, 1.0::DOUBLE AS cosine FROM v WHERE first <> vec_id
+WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS e, min(vec_id) OVER (PARTITION BY embedding) AS first FROM embeddings WHERE vec_id IS NOT NULL),
+f AS (SELECT vec_id, e FROM v WHERE vec_id = first),
+p AS (SELECT x.vec_id AS a, y.vec_id AS b FROM f x JOIN f y ON x.vec_id < y.vec_id WHERE list_cosine_similarity(x.e, y.e) >= 0.95),
+e AS (SELECT a AS x, b AS y FROM p UNION ALL SELECT b AS x, a AS y FROM p),
+r AS (SELECT x, y FROM e UNION SELECT r.x, e.y FROM r JOIN e ON r.y = e.x),
+k AS (SELECT x, min(y) AS least FROM r GROUP BY x),
+l AS (SELECT x, count(*) AS links FROM e GROUP BY x)
+SELECT DISTINCT vec_id, least(first, coalesce(k.least, first)) AS class_id, coalesce(links, 0)::BIGINT AS links
+FROM v LEFT JOIN k ON k.x = first LEFT JOIN l ON l.x = first
 """,
     "op8_ngram_join": r"""
 WITH RECURSIVE t AS (SELECT DISTINCT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[0-9a-z\x{80}-\x{10FFFF}]+') AS w FROM documents WHERE doc_id IS NOT NULL),

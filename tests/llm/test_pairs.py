@@ -163,24 +163,27 @@ def test_suffix_mergesort(values):
 
 def test_vectors_against_brute_force(spark):
     r = np.random.default_rng(3)
-    v = r.standard_normal((150, 16))
-    v = np.vstack([v, v[:60] + r.standard_normal((60, 16)) * r.uniform(0.02, 0.35, (60, 1)), v[:5]])
+    v = r.standard_normal((120, 16))
+    v = np.vstack([v, v[:60] + r.standard_normal((60, 16)) * r.uniform(0.02, 0.35, (60, 1)), v[0] + r.standard_normal((90, 16)) * r.uniform(0.02, 0.3, (90, 1)), v[:5]])
     v = v.astype(np.float32).astype(float)
     unit = v / np.linalg.norm(v, axis=1, keepdims=True)
-    cos = unit @ unit.T
-    copies = {i: i - 210 for i in range(210, 215)}
-    want = {(i, j) for i in range(210) for j in range(i + 1, 210) if cos[i, j] >= 0.95} | {(b, a) for a, b in copies.items()}
+    n = len(v) - 5
+    link = (unit[:n] @ unit[:n].T >= 0.95) & ~np.eye(n, dtype=bool)
+    root = np.arange(n)
+    for _ in range(n):
+        root = np.array([min(root[i], *root[link[i]]) if link[i].any() else root[i] for i in range(n)])
+    want = {(i, int(root[i]), int(link[i].sum())) for i in range(n)} | {(n + k, int(root[k]), int(link[k].sum())) for k in range(5)}
     t = spark.createDataFrame([(i, x.tolist(), 0) for i, x in enumerate(v)], "vec_id long, embedding array<float>, v int")
-    got = {(x["a"], x["b"]): x["cosine"] for x in embeddings.near_vectors(t).collect()}
-    assert not set(got) - want and len(got) >= 0.9 * len(want)
-    assert all(abs(c - cos[k]) < 1e-6 for k, c in got.items())
+    for more in ({}, {"crowd": 40, "block": 16, "rounds": 2}):
+        got = {tuple(x) for x in embeddings.vector_classes(t, **more).collect()}
+        assert len(got) == len(v) and got == want
 
 
 def test_awkward_vectors(spark):
     rows = [(None, [1.0, 0.0]), (1, None), (2, []), (3, [0.0, 0.0]), (4, [1.0, float("nan")]), (5, [1.0, None]), (6, [1.0, 2.0, 3.0]), (7, [1.0, 0.0]), (7, [1.0, 0.0]), (8, [1.0, 0.0]), (9, [1.0, 0.01]), (10, [0.0, 1.0])]
     t = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
-    assert {(x["a"], x["b"]) for x in embeddings.near_vectors(t).collect()} == {(7, 8), (7, 9)}
-    assert embeddings.near_vectors(t.where("false")).count() == 0
+    assert {tuple(x) for x in embeddings.vector_classes(t).collect()} == {(7, 7, 1), (8, 7, 1), (9, 7, 1), (10, 10, 0)}
+    assert embeddings.vector_classes(t.where("false")).count() == 0
 
 
 def test_estimates_are_unbiased():
