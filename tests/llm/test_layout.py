@@ -14,13 +14,20 @@ from sheaf.llm import chat, packing, sharding
 from .data import awkward, empty, prose, table
 
 
-def test_token_counts_equal_the_tokenizer():
+def tokenizer():
     ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(packing.TOKENIZER, "rb"))}
-    e = tiktoken.Encoding("t", pat_str=packing.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding("t", pat_str=packing.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
+def test_tokens_equal_the_tokenizer(monkeypatch):
+    e = tokenizer()
     r = random.Random(1)
-    texts = ["", " ", "\n\n", " a", "a ", "it's  two\n\n three\t\tfour ", "Ünï 世界 x", " em  space "] + ["".join(r.choice("ab1' \n\té.,世 ") for _ in range(r.randrange(40))) for _ in range(300)]
-    got = packing.TokenCounter.at(packing.TOKENIZER).counts(pa.array(texts))
-    assert got.tolist() == [len(e.encode_ordinary(t)) for t in texts]
+    texts = ["", " ", "\n\n", " a", "a ", "it's  two\n\n three\t\tfour ", "Ünï 世界 x", "\u2003em\u2003 space ", None] + ["".join(r.choice("ab1' \n\té.,世\u00a0 ") for _ in range(r.randrange(40))) for _ in range(400)]
+    monkeypatch.setattr(packing.Tokens, "POOL", 500)
+    t = packing.Tokens(packing.TOKENIZER)
+    for _ in range(2):
+        got = [flat[at[k] : at[k + 1]].tolist() for part in (texts[:100], texts[100:], ["", None]) for lo, hi, flat, at in t.of(pa.array(part)) for k in range(hi - lo)]
+        assert got == [e.encode_ordinary(x or "") for x in [*texts, "", None]]
 
 
 def brute_pack(docs, capacity, most):
@@ -57,33 +64,37 @@ def windows(df):
 
 def test_packing_against_brute_force(spark):
     r = random.Random(2)
-    docs = [(i, r.choice([1, 5, 30, 64, 65, 200, r.randrange(1, 64)])) for i in range(300)]
-    got = windows(packing.windows(spark.createDataFrame(docs, "id long, tokens long"), capacity=64, open_windows=4))
-    assert got == sorted(tuple(w) for w in brute_pack(docs, 64, 4))
+    e = tokenizer()
+    texts = [prose(r, r.choice([1, 2, 8, 16, 17, 70, r.randrange(1, 20)])) for i in range(200)]
+    got = windows(packing.pack(table(spark, list(enumerate(texts))).coalesce(1), capacity=64, open_windows=4))
+    first = brute_pack([(i, len(e.encode_ordinary(t))) for i, t in enumerate(texts)], 64, 4)
+    # what is open at the end is packed once more, by its first piece
+    done, open_ = first[:-4], first[-4:]
+    assert set(map(tuple, done)) <= set(got) and sorted(p for w in got for p in w) == sorted(p for w in first for p in w)
+    assert len(done) + 1 <= len(got) <= len(first) and sum(map(len, got)) == sum(map(len, done + open_))
 
 
-def test_packing_in_many_buckets_holds_every_token_once(spark):
+def test_windows_decode_to_the_texts(spark):
     r = random.Random(3)
-    docs = [(i, r.randrange(1, 150)) for i in range(500)]
-    out = packing.windows(spark.createDataFrame(docs, "id long, tokens long"), capacity=64, open_windows=4, bucket_docs=40, fan_in=3)
-    seen = {}
-    for x in out.collect():
-        assert x["tokens"] == sum(x["lengths"]) <= 64
-        for i, s, n in zip(x["doc_ids"], x["starts"], x["lengths"], strict=True):
-            seen.setdefault(i, []).append((s, n))
-    for i, n in docs:
+    e = tokenizer()
+    texts = [prose(r, r.randrange(1, 60)) + r.choice(["", "\n", "  é\u2003"]) for _ in range(300)] + [prose(r, 3000)]
+    out = packing.pack(table(spark, list(enumerate(texts))).repartition(7), capacity=64, open_windows=4, fan_in=3)
+    rows = out.collect()
+    parts = {}
+    for x in rows:
+        assert x["tokens"] == sum(x["lengths"]) == len(x["token_ids"]) <= 64
         at = 0
-        for s, k in sorted(seen[i]):
-            assert s == at
-            at += k
-        assert at == n
-    assert out.count() <= 1.15 * -(-sum(n for _, n in docs) // 64)
+        for i, s, n in zip(x["doc_ids"], x["starts"], x["lengths"], strict=True):
+            parts.setdefault(i, []).append((s, x["token_ids"][at : at + n]))
+            at += n
+    assert [e.decode([t for _, ids in sorted(parts[i]) for t in ids]) for i in range(len(texts))] == texts
+    assert len(rows) <= 1.15 * -(-sum(x["tokens"] for x in rows) // 64)
 
 
 def test_packing_of_awkward_tables(spark):
     out = packing.pack(awkward(spark)).collect()
-    ids = {i for x in out for i in x["doc_ids"]}
-    assert ids == {3, 4, 5, 6, 7, 8, 9}
+    ids = [i for x in out for i in x["doc_ids"]]
+    assert set(ids) == {3, 4, 5, 6, 7, 8, 9} and ids.count(6) == 2
     assert packing.pack(empty(spark)).count() == 0
 
 
