@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sheaf.llm import storage
+from sheaf.llm.textops import lean
 
 GRID = 1024  # cells of the distance, which goes from 0 to 1
 PIVOTS = 8  # candidates for the pivot of a group
@@ -126,7 +127,7 @@ def _pivot_round(member: DataFrame, metric: Metric, block_docs: int, block_bytes
     zero = lambda d, side: d.select("id", "group", F.col("block").alias("left"), F.lit(0).cast("long").alias("right"), F.lit(side).alias("side"), "node", "s1", "cell", F.lit(0).alias("need")).select(*COLUMNS)
     blocks = member.select("group", "block").distinct()
     units = zero(member.withColumn("cell", F.lit(0)), 0).union(zero(few.join(blocks, "group"), 1))
-    d = storage.stash(member.drop("blocks", "block").join(metric.attach(units).mapInArrow(metric.measure, DISTANCES), "node"), keep)
+    d = storage.stash(member.drop("blocks", "block").join(metric.attach(units).mapInArrow(lean(metric.measure), DISTANCES), "node"), keep)
     top = math.floor(GRID * metric.limit + 1e-9)
     cell = lambda x: F.ceil(x * GRID - 1e-9).cast("int")
     near = d.groupBy("group").agg(F.array(*[F.sum((cell(F.col("ds")[k]) * 2 <= top).cast("int")) for k in range(PIVOTS)]).alias("near"))
@@ -160,7 +161,7 @@ def _pivot_round(member: DataFrame, metric: Metric, block_docs: int, block_bytes
     if both.limit(1).count():
         ux = x.join(both, (x["group"] == both["group"]) & (x["b"] == both["left"])).select(x["id"], x["group"], "left", "right", F.lit(0).alias("side"), "node", "s1", "cell", F.lit(0).alias("need"))
         uy = y.join(both, (y["group"] == both["group"]) & (y["b"] == both["right"])).select(y["id"], y["group"], "left", "right", F.lit(1).alias("side"), "node", "s1", F.lit(0).alias("cell"), "need")
-        out.append(metric.attach(ux.union(uy)).mapInArrow(metric.compare, LINKED))
+        out.append(metric.attach(ux.union(uy)).mapInArrow(lean(metric.compare), LINKED))
     return rest.select(*[c for c in member.columns if c not in ("blocks", "block")]), [storage.stash(o, keep) for o in out]
 
 
@@ -173,7 +174,7 @@ def verified(items: DataFrame, metric: Metric, block_docs: int, block_bytes: int
         large = member.where("blocks > 1")
         last = turn == rounds or not large.limit(1).count()
         flat = member if last else member.where("blocks = 1")
-        part = [metric.attach(_all_pairs(flat)).mapInArrow(metric.compare, LINKED)]
+        part = [metric.attach(_all_pairs(flat)).mapInArrow(lean(metric.compare), LINKED)]
         if not last:
             member, more = _pivot_round(large, metric, block_docs, block_bytes, turn, keep)
             part += more

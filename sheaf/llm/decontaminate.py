@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from sheaf.llm import storage
 from sheaf.llm.tables import id_and_text
-from sheaf.llm.textops import Words, mix, slices, words
+from sheaf.llm.textops import Words, lean, mix, slices, words
 
 TERMS, PASSAGE, SKETCH, RANK, BLOCK, CHUNK = 16384, 48, 96, 64, 16, 256
 
@@ -96,10 +96,10 @@ def _add_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def latent_space(docs: DataFrame) -> np.ndarray:
     """(TERMS, RANK) map of term counts into the latent space, of (id, text) rows. Without any words it is all zeros."""
     df = np.zeros(TERMS + 1)
-    for r in docs.mapInArrow(_df_rows, "term int, df long").groupBy("term").agg(F.sum("df").alias("df")).collect():
+    for r in docs.mapInArrow(lean(_df_rows), "term int, df long").groupBy("term").agg(F.sum("df").alias("df")).collect():
         df[r["term"]] = r["df"]
     idf = np.log((1 + df[TERMS]) / (1 + df[:TERMS])) + 1e-3
-    rows = docs.mapInArrow(_sketch_rows(idf), "row int, v binary").repartition("row").mapInArrow(_add_rows, "row int, v binary").collect()
+    rows = docs.mapInArrow(lean(_sketch_rows(idf)), "row int, v binary").repartition("row").mapInArrow(lean(_add_rows), "row int, v binary").collect()
     b = np.zeros((SKETCH, TERMS))
     for r in rows:
         b[r["row"]] = np.frombuffer(r["v"], np.float64)
@@ -295,7 +295,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, *, cosine: float | None = None,
     space = latent_space(d)
     out = None
     for part_ in _portions(items):
-        hit = d.mapInArrow(_search(space, part_, cosine, whole, part, answer), _FOUND)
+        hit = d.mapInArrow(lean(_search(space, part_, cosine, whole, part, answer)), _FOUND)
         out = hit if out is None else out.union(hit)
     best = out.groupBy("id", "item_id").agg(F.max(F.struct("common_words", "answer_words", "item_words")).alias("b"))
     return best.select(F.col("id").alias(id_col), "item_id", "b.common_words", "b.answer_words", "b.item_words")

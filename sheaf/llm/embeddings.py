@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sheaf.llm import crowds, storage
-from sheaf.llm.textops import mix
+from sheaf.llm.textops import lean, mix
 
 
 def rotation(dim: int, seed: int = 9) -> np.ndarray:
@@ -201,15 +201,15 @@ def vector_classes(
     dim = most["dim"]
     v = v.where(F.size("v") == dim).withColumn("key", F.sha2(F.concat_ws(",", F.col("v").cast("array<string>")), 256))
     one = storage.stash(v.groupBy("key").agg(F.min("id").alias("id"), F.first("v").alias("v")).withColumn("node", F.monotonically_increasing_id()), keep)
-    nodes = storage.stash(one.select("node", "id", "v").mapInArrow(_code_rows(dim), f"node long, id long, v array<double>, {_CODE}"), keep)
+    nodes = storage.stash(one.select("node", "id", "v").mapInArrow(lean(_code_rows(dim)), f"node long, id long, v array<double>, {_CODE}"), keep)
     bits, bands = band_plan(nodes.count(), least, recall)
-    spots = nodes.select("node", "v").mapInArrow(_band_rows(dim, bits, bands, False), "band int, bucket long, node long")
+    spots = nodes.select("node", "v").mapInArrow(lean(_band_rows(dim, bits, bands, False)), "band int, bucket long, node long")
     full = storage.stash(spots.groupBy("band", "bucket").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("first")).where(F.col("n") > crowd), keep)
-    rows = nodes.drop("id").mapInArrow(_band_rows(dim, bits, bands, True), f"band int, bucket long, node long, {_CODE}")
+    rows = nodes.drop("id").mapInArrow(lean(_band_rows(dim, bits, bands, True)), f"band int, bucket long, node long, {_CODE}")
     crowded = storage.hinted(full.select("band", "bucket", "first"), full.count(), 24)
     some = rows.join(crowded.drop("first"), ["band", "bucket"], "left_anti").repartition("band", "bucket").sortWithinPartitions("band", "bucket")
     stars = spots.join(crowded, ["band", "bucket"]).select(F.col("node").alias("a"), F.col("first").alias("b")).where("a <> b").distinct()
-    groups = storage.connected_components(some.mapInArrow(_bucket_links(dim, least, sure), "a long, b long").union(stars))
+    groups = storage.connected_components(some.mapInArrow(lean(_bucket_links(dim, least, sure)), "a long, b long").union(stars))
     member = nodes.select("node", F.col("node").alias("id"), F.lit(0).cast("long").alias("s1"), F.lit(dim * 8).alias("size")).join(groups.withColumnRenamed("component", "group"), "node")
     code = nodes.drop("id")
     attach = lambda units: crowds.gathered(code.join(storage.hinted(units, units.count(), 72), "node"), "v", *_CODES)

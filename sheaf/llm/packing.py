@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from sheaf.llm import storage
 from sheaf.llm.tables import id_and_text
-from sheaf.llm.textops import slices, words
+from sheaf.llm.textops import lean, slices, words
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -289,7 +289,7 @@ def pack(docs: DataFrame, *, tokenizer: str = TOKENIZER, capacity: int = 2048, o
     if os.path.exists(tokenizer):
         spark.sparkContext.addFile(tokenizer)
     rows = id_and_text(docs, id_col, text_col).where("text <> ''")
-    packed = storage.stash(rows.mapInArrow(_pack_documents(tokenizer, capacity, open_windows), _OUT))
+    packed = storage.stash(rows.mapInArrow(lean(_pack_documents(tokenizer, capacity, open_windows)), _OUT))
     done = packed.where("not open")
     most = packed.agg(F.max("bucket").alias("b")).first()["b"]
     buckets = 0 if most is None else most + 1
@@ -299,7 +299,7 @@ def pack(docs: DataFrame, *, tokenizer: str = TOKENIZER, capacity: int = 2048, o
         buckets = -(-buckets // fan_in)
         order = [F.col("doc_ids")[0], F.col("starts")[0], "tokens"]
         left = left.repartition(buckets, "bucket").sortWithinPartitions("bucket", *order)
-        packed = storage.stash(left.mapInArrow(_pack_again(capacity, open_windows), _OUT))
+        packed = storage.stash(left.mapInArrow(lean(_pack_again(capacity, open_windows)), _OUT))
         done = done.union(packed if last else packed.where("not open"))
         if last:
             break

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sheaf.llm.tables import id_and_text, spare_name
-from sheaf.llm.textops import NOT_SPACE, mix, slices, words
+from sheaf.llm.textops import NOT_SPACE, lean, mix, slices, words
 
 #: At most so many trusted positives and so many unlabelled documents, least hashes of the id first, train the model.
 POSITIVES, UNLABELLED = 6000, 12000
@@ -161,13 +161,16 @@ def fit_arrays(p: np.ndarray, u: np.ndarray, keep_positives: float) -> Model:
     mean, scale = both.mean(0), np.maximum(both.std(0), 1e-3)
     z = lambda x: np.clip((x - mean) / scale, -8, 8)
     zp, zu = z(p), z(u)
+    # two halves, each judged by the machine of the other; the model is the mean of the two, so every row trains it
+    halves = [(zp[k::2], zu[k::2]) for k in (0, 1)] if len(zp) > 3 and len(zu) > 3 else [(zp, zu)] * 2
     prior = 0.5
-    for _ in range(3):
-        w, b = nn_pu(zp[::2], zu[::2], prior)
-        hp, hu = (zp[1::2], zu[1::2]) if len(zp) > 3 and len(zu) > 3 else (zp, zu)
-        prior = class_prior(hp @ w + b, hu @ w + b)
-    w, b = nn_pu(zp[::2], zu[::2], prior)
-    held = zp[1::2] @ w + b if len(zp) > 3 else zp @ w + b
+    for last in (False, False, True):
+        fits = [nn_pu(a, b, prior) for a, b in halves]
+        other = [(a @ w + c, b @ w + c) for (a, b), (w, c) in zip(halves, fits[::-1], strict=True)]
+        held, rest = (np.concatenate([x[k] for x in other]) for k in (0, 1))
+        if not last:
+            prior = class_prior(held, rest)
+    w, b = np.mean([f[0] for f in fits], axis=0), float(np.mean([f[1] for f in fits]))
     return Model(mean, scale, w, b, prior, float(min(0.0, np.quantile(held, 1 - keep_positives))))
 
 
@@ -187,7 +190,7 @@ def train(docs: DataFrame, labels: DataFrame, *, positives: int = POSITIVES, unl
     take_u = _sampled(d.join(trusted, "id", "left_anti"), unlabelled)
     take = take_p.withColumn("p", F.lit(True)).union(take_u.withColumn("p", F.lit(False)))
     # the sample is bounded by the two parameters, and so is what is broadcast
-    rows = d.join(F.broadcast(take), "id").mapInArrow(_feature_rows, "id long, p boolean, x array<double>").collect()
+    rows = d.join(F.broadcast(take), "id").mapInArrow(lean(_feature_rows), "id long, p boolean, x array<double>").collect()
     rows.sort(key=lambda r: (r["id"], r["x"]))
     x = lambda want: np.array([r["x"] for r in rows if r["p"] is want and any(r["x"])]).reshape(-1, len(NAMES))
     return fit_arrays(x(True), x(False), keep_positives)
@@ -201,7 +204,10 @@ def _feature_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 def scored(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, score, keep) of every row with an id; a text without words (null, empty, white space) has a null score and is not kept."""
+    """(id, score, keep) of every row with an id; a text without words (null, empty, white space) has a null score and is not kept.
+
+    Rows that repeat an id are judged each, texts of any length whole; an empty table gives an empty result, other columns are not read.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -210,11 +216,14 @@ def scored(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
             s = model.score(x)
             yield pa.RecordBatch.from_arrays([b["id"], pa.array(np.round(s, 6), mask=~has), pa.array(has & (s >= model.threshold))], names=["id", "score", "keep"])
 
-    return id_and_text(docs, id_col, text_col).mapInArrow(run, "id long, score double, keep boolean").withColumnRenamed("id", id_col)
+    return id_and_text(docs, id_col, text_col).mapInArrow(lean(run), "id long, score double, keep boolean").withColumnRenamed("id", id_col)
 
 
 def only_good(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that the model keeps, all columns as they are; rows without an id are judged like others."""
+    """The rows of ``docs`` that the model keeps, all columns as they are; rows without an id and repeated rows are judged like others.
+
+    Null, empty and blank texts go; texts of any length are judged whole. An empty table gives an empty result; columns may have any names.
+    """
     text = spare_name(docs, "text_to_judge")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -224,4 +233,4 @@ def only_good(docs: DataFrame, model: Model, text_col: str = "text") -> DataFram
             keep = x.any(axis=1) & (model.score(x) >= model.threshold)
             yield pa.RecordBatch.from_arrays([c for i, c in enumerate(b.columns) if i != at], names=[f for i, f in enumerate(b.schema.names) if i != at]).filter(pa.array(keep))
 
-    return docs.withColumn(text, F.coalesce(docs[text_col], F.lit(""))).mapInArrow(run, docs.schema)
+    return docs.withColumn(text, F.coalesce(docs[text_col], F.lit(""))).mapInArrow(lean(run), docs.schema)

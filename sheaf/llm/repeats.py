@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from sheaf.llm import storage
 from sheaf.llm.tables import id_and_text, spare_name
-from sheaf.llm.textops import NOT_SPACE, Words, mix, powers, raw_bytes, slices, words
+from sheaf.llm.textops import NOT_SPACE, Words, lean, mix, powers, raw_bytes, slices, words
 
 LEAST, GRAM = 50, 12
 _MUL = np.uint64(0xC2B2AE3D27D4EB4F)
@@ -308,13 +308,13 @@ def _sorter(least: int, most: int = 1 << 20):
 
 def repeated_ranges(docs: DataFrame, least: int, gram: int, keep: list[str]) -> DataFrame:
     """Runs of windows that occur again, of (id, text) rows with ``mark``, a hash of the text."""
-    spots = docs.mapInArrow(_anchor_rows(least, gram), _SPOT)
+    spots = docs.mapInArrow(lean(_anchor_rows(least, gram)), _SPOT)
     wanted = spots.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("key"))).where("n > 1")
     per_doc = storage.stash(wanted.groupBy("id", "mark").agg(F.collect_set(F.struct("key", "first", "last", "back")).alias("spots")), keep)
     size = per_doc.agg(F.sum(F.size("spots") * 24 + 32).alias("b")).first()["b"] or 0
     pieces = docs.join(storage.hinted(per_doc, 1, size), ["id", "mark"]).select("id", "mark", "text", "spots")
-    pieces = pieces.mapInArrow(_cut_rows(least), _SPOT + ", piece binary")
-    return pieces.repartition("key").sortWithinPartitions("key").mapInArrow(_sorter(least), "id long, mark long, first int, last int, again boolean")
+    pieces = pieces.mapInArrow(lean(_cut_rows(least)), _SPOT + ", piece binary")
+    return pieces.repartition("key").sortWithinPartitions("key").mapInArrow(lean(_sorter(least)), "id long, mark long, first int, last int, again boolean")
 
 
 def _marked_spans(docs: DataFrame, least: int, gram: int, keep: list[str]) -> DataFrame:
@@ -386,4 +386,4 @@ def without_repeats(docs: DataFrame, *, least: int = LEAST, gram: int = GRAM, id
     names = [spare_name(docs, n) for n in ("cut_id", "cut_mark", "cut_spans")]
     cut = storage.hinted(cut.toDF(*names), 1, size)
     joined = docs.join(cut, (docs[id_col].cast("long") == cut[names[0]]) & (F.xxhash64(F.coalesce(docs[text_col], F.lit(""))) == cut[names[1]]), "left").drop(names[0], names[1])
-    return joined.mapInArrow(_remover(text_col, names[2], count_col if count_col in docs.columns else None), docs.schema)
+    return joined.mapInArrow(lean(_remover(text_col, names[2], count_col if count_col in docs.columns else None)), docs.schema)

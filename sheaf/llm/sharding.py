@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sheaf.llm.tables import id_and_text
+from sheaf.llm.textops import lean
 
 
 def _assign(shards: int):
@@ -36,7 +37,7 @@ def schedule(groups: DataFrame, shards: int) -> DataFrame:
     """
     size = F.greatest(F.coalesce(groups["size"].cast("long"), F.lit(0)), F.lit(0))
     rows = groups.select("part", size.alias("size")).repartition(1).sortWithinPartitions(F.desc("size"), "part")
-    return rows.mapInArrow(_assign(shards), "part long, shard int")
+    return rows.mapInArrow(lean(_assign(shards)), "part long, shard int")
 
 
 def shard_documents(docs: DataFrame, *, shards: int = 64, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

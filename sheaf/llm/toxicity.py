@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sheaf.llm.tables import id_and_text
-from sheaf.llm.textops import NOT_SPACE, Words, slices, words
+from sheaf.llm.textops import NOT_SPACE, Words, lean, slices, words
 
 SYMBOLS, DECAY, LONGEST = 64, 0.7, 24
 #: At most so many toxic and clean labelled documents, least hashes of the id first, train the machine; one of so many of them is held out.
@@ -433,7 +433,7 @@ def train(docs: DataFrame, labels: DataFrame, *, toxic: int = TOXIC, clean: int
     take = one(1, toxic).union(one(0, clean))
     # the sample is bounded by the two parameters, and so is what is broadcast
     d = id_and_text(docs, id_col, text_col).join(F.broadcast(take), "id").select("id", "t", "text")
-    got = d.mapInArrow(_sentence_rows, _BAG).select("id", "t", "words", F.pmod(F.xxhash64("id", F.lit("held")), F.lit(held)).alias("part")).toArrow()
+    got = d.mapInArrow(lean(_sentence_rows), _BAG).select("id", "t", "words", F.pmod(F.xxhash64("id", F.lit("held")), F.lit(held)).alias("part")).toArrow()
     if not got.num_rows:
         return learn(Bags.of(np.zeros(0, np.int64), np.zeros(0, bool), np.zeros(0, bool), pa.array([], pa.list_(pa.string()))))
     got = got.combine_chunks()
@@ -460,4 +460,4 @@ def scored(docs: DataFrame, machine: Machine, id_col: str = "doc_id", text_col:
             has = ~np.isnan(s)
             yield pa.RecordBatch.from_arrays([b["id"], pa.array(np.round(s, 6), mask=~has), pa.array(has & (np.nan_to_num(s, nan=-9.0) > machine.threshold))], names=["id", "score", "toxic"])
 
-    return id_and_text(docs, id_col, text_col).mapInArrow(run, "id long, score double, toxic boolean").withColumnRenamed("id", id_col)
+    return id_and_text(docs, id_col, text_col).mapInArrow(lean(run), "id long, score double, toxic boolean").withColumnRenamed("id", id_col)
