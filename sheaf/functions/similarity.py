@@ -20,8 +20,45 @@ def number(c: Column) -> Column:
     return F.when(s.rlike(_NUMBER) & s.rlike("[0-9]"), F.replace(s, F.lit("_"), F.lit("")).try_cast("double"))
 
 
+def canonical(c: Column) -> Column:
+    """JSON of an object or array with sorted keys and no blanks, null for other texts."""
+    s = strip(c.cast("string"))
+    return F.when(s.rlike(r"^[\[{]"), F.to_json(F.try_parse_json(s)))
+
+
 def exact(a: Column, b: Column) -> Column:
-    return strip(a.cast("string")) == strip(b.cast("string"))
+    """Equal texts, blanks around them aside; two JSON objects or arrays are equal in any order of keys."""
+    x, y = canonical(a), canonical(b)
+    return F.when(x.isNotNull() & y.isNotNull(), x == y).otherwise(strip(a.cast("string")) == strip(b.cast("string")))
+
+
+def same_value(a: object, b: object) -> bool:
+    """Deep equality of JSON values: plain ones by value, objects over the keys of either, lists by place, else by text."""
+    plain = (str, int, float, bool)
+    if isinstance(a, plain) and isinstance(b, plain):
+        return a == b
+    if isinstance(a, dict) and isinstance(b, dict):
+        return all(same_value(a.get(k), b.get(k)) for k in a.keys() | b.keys())
+    if isinstance(a, list) and isinstance(b, list):
+        return len(a) == len(b) and all(map(same_value, a, b))
+    return str(a) == str(b)
+
+
+@F.pandas_udf(T.BooleanType())
+def deep_equal(a: pd.Series, b: pd.Series) -> pd.Series:
+    """``same_value`` of two columns of JSON; what isn't JSON is a text, null is null on both sides."""
+    return pd.Series([same_value(_value(x), _value(y)) for x, y in zip(a, b, strict=True)], dtype="bool")
+
+
+def _value(text: str | None) -> object:
+    import json
+
+    if text is None:
+        return None
+    try:
+        return json.loads(text)
+    except ValueError:
+        return text
 
 
 def numeric(expected: Column, predicted: Column, tolerance: Column) -> Column:
@@ -95,6 +132,41 @@ def unsupported(value: Column, document: Column) -> Column:
     )
 
 
+def support_score(value: object, document: str) -> float:
+    """``unsupported`` for any JSON value: lists of plain values and objects by the mean of their parts; 0 for an empty list, 0.5 for lists of others, empty objects and null."""
+    import re
+
+    if isinstance(value, list):
+        if not value:
+            return 0.0
+        if not all(isinstance(x, (str, int, float, bool)) for x in value):
+            return 0.5
+        return sum(support_score(x, document) for x in value) / len(value)
+    if isinstance(value, dict):
+        return sum(support_score(x, document) for x in value.values()) / len(value) if value else 0.5
+    if value is None:
+        return 0.5
+    v, doc = str(value).strip().lower(), document.lower()
+    if v in doc:
+        return 0.0
+    words = re.findall(r"\w+", v)
+    if words and all(w in doc for w in words):
+        return 0.3
+    return 0.6 if len(v) > 3 and any(v[i : i + 4] in doc for i in range(len(v) - 3)) else 0.9
+
+
+@F.pandas_udf(T.DoubleType())
+def nested_support(value: pd.Series, document: pd.Series) -> pd.Series:
+    """``support_score`` of columns of JSON values and documents; for fields that aren't plain. A null value is null."""
+    return pd.Series([None if v is None else support_score(_value(v), d or "") for v, d in zip(value, document, strict=True)], dtype="float64")
+
+
+def support(value: Column, document: Column) -> Column:
+    """By the sort of each value: objects and lists part by part in Python, others by built-in expressions."""
+    nested = strip(value).rlike(r"^[\[{]")
+    return F.when(nested, nested_support(F.when(nested, value), F.when(nested, document))).otherwise(unsupported(value, document))
+
+
 def mean_or(values: Column, empty: float) -> Column:
     """Mean of an array, ``empty`` without values."""
     return F.when(F.size(values) > 0, F.aggregate(values, F.lit(0.0), lambda a, x: a + x) / F.size(values)).otherwise(F.lit(empty))

@@ -227,19 +227,22 @@ def count_tokens(text: str) -> int:
 
 
 def cut_to_tokens(text: str, most: int) -> str:
-    """The longest prefix that a binary search finds within ``most`` tokens, up to its last full stop, with an ellipsis."""
+    """A longer text up to a full stop, with an ellipsis. A binary search looks for the stop; each step tries the last one in the half that is left."""
+
+    def upto(low: int, high: int) -> str:
+        stop = text.rfind(".", low, high)
+        return text[: (high if stop < 0 else stop) + 1]
+
     if count_tokens(text) <= most:
         return text
     low, high = 0, len(text)
     while low < high:
-        middle = (low + high + 1) // 2
-        if count_tokens(text[:middle]) <= most:
-            low = middle
+        middle = (low + high) // 2
+        if count_tokens(upto(low, middle)) <= most:
+            low = middle + 1
         else:
-            high = middle - 1
-    cut = text[:low]
-    stop = cut.rfind(".")
-    return (cut[: stop + 1] if stop > 0 else cut) + "..."
+            high = middle
+    return upto(0, low) + "..."
 
 
 def truncated(most: int):

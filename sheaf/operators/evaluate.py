@@ -32,14 +32,15 @@ def long_form(wide: DataFrame, key: str, fields: list[str], value: str) -> DataF
     return wide.select(key, rows.alias("r")).select(key, "r.*")
 
 
-def compared(expected: DataFrame, predicted: DataFrame, config: DataFrame, key: str) -> DataFrame:
+def compared(expected: DataFrame, predicted: DataFrame, config: DataFrame, key: str, custom: Column | None = None, semantic: Column | None = None) -> DataFrame:
     """(key, field, expected, predicted, present, matched) of every expected field.
 
-    ``config`` has (field, kind, threshold, tolerance); fields without a row are EXACT. A field that wasn't predicted is absent and wrong.
+    ``config`` has (field, kind, threshold, tolerance); fields without a row are EXACT. A field that wasn't predicted is absent and wrong. ``custom`` and
+    ``semantic`` are a verdict and a similarity over the columns expected and predicted, for the fields of these kinds.
     """
     p = predicted.select(key, "field", "predicted", F.lit(True).alias("there"))
     rows = expected.join(p, [key, "field"], "left").join(small(config), "field", "left")
-    ok = S.matches(F.coalesce("kind", F.lit("EXACT")), F.col("expected"), F.col("predicted"), F.coalesce("threshold", F.lit(0.8)), F.coalesce("tolerance", F.lit(0.01)))
+    ok = S.matches(F.coalesce("kind", F.lit("EXACT")), F.col("expected"), F.col("predicted"), F.coalesce("threshold", F.lit(0.8)), F.coalesce("tolerance", F.lit(0.01)), custom, semantic)
     there = F.coalesce("there", F.lit(False))
     return rows.select(key, "field", "expected", "predicted", there.alias("present"), F.when(there, ok).otherwise(False).alias("matched"))
 
@@ -112,10 +113,13 @@ def costs(docs: DataFrame) -> DataFrame:
     )
 
 
-def hallucinations(values: DataFrame, docs: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """(key, field, value, score) of the values that aren't null, by what the document's text holds."""
+def hallucinations(values: DataFrame, docs: DataFrame, key: str, text: str = "text", nested: bool = False) -> DataFrame:
+    """(key, field, value, score) of the values that aren't null, by what the document's text holds; with ``nested`` values may be JSON objects and lists."""
     v = values.where(F.col("value").isNotNull() & ~F.col("field").isin(*SKIPPED))
-    return v.join(docs.select(key, text), key).select(key, "field", "value", S.unsupported(F.col("value"), F.col(text)).alias("score"))
+    # values travel as one array a document, so a text is joined once, not once a field
+    by_doc = v.groupBy(key).agg(F.collect_list(F.struct("field", "value")).alias("held"))
+    rows = by_doc.join(docs.select(key, text), key).select(key, text, F.explode("held").alias("h"))
+    return rows.select(key, "h.field", "h.value", (S.support if nested else S.unsupported)(F.col("h.value"), F.col(text)).alias("score"))
 
 
 def hallucination_rate(scores: DataFrame, key: str) -> DataFrame:
@@ -148,3 +152,24 @@ def printed(metrics: DataFrame) -> DataFrame:
     """(field, line): percentages as a reader sees them."""
     line = F.format_string("%s: precision %.2f%%, recall %.2f%%, f1 %.2f%%", F.col("field"), *[F.col(c) * 100 for c in ("precision", "recall", "f1")])
     return metrics.select("field", line.alias("line"))
+
+
+def evaluated(docs: DataFrame, predicted: DataFrame, labels: DataFrame, fields: list[str], config: DataFrame, key: str, name: str, text: str = "content", custom: Column | None = None, semantic: Column | None = None) -> dict[str, DataFrame]:
+    """All of an evaluation: rows, field_metrics, macro, documents, schema, hallucinations and the report.
+
+    ``predicted`` and ``labels`` have (key, the fields); nested fields are compared as JSON. A document without a prediction counts as one of which nothing was found,
+    and as not valid.
+    """
+    deep = any(predicted.schema[f].dataType.typeName() in ("struct", "array", "map") for f in fields)
+    plain = lambda d: d.select(key, *[(F.to_json(f) if d.schema[f].dataType.typeName() in ("struct", "array", "map") else F.col(f).cast("string")).alias(f) for f in fields])
+    e = long_form(plain(labels), key, fields, "expected").where("expected is not null")
+    p = long_form(plain(predicted), key, fields, "predicted").where("predicted is not null")
+    rows = compared(e, p, config, key, custom, semantic)
+    metrics = field_metrics(rows, docs.sparkSession.createDataFrame([(f,) for f in fields], "field string"))
+    judged = docs.join(labels.select(key), key, "left_semi").select(key, text)
+    whole = document_accuracy(rows, judged, key)
+    there = judged.select(key).join(predicted.select(key, F.lit(True).alias("valid")).distinct(), key, "left")
+    schema_ = schema_rate(there, "valid")
+    scores = hallucinations(p.withColumnRenamed("predicted", "value"), judged, key, text, deep)
+    macro = macro_metrics(metrics)
+    return {"rows": rows, "field_metrics": metrics, "macro": macro, "documents": whole, "schema": schema_, "hallucinations": hallucination_rate(scores, key), "report": report(name, macro=macro, documents=whole, schema=schema_)}

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sheaf import schema
+from sheaf.functions import numbers
 from sheaf.functions import text as X
 from sheaf.operators import merge
 from sheaf.operators.pages import joined
@@ -25,12 +27,15 @@ FORBIDDEN, PAGINATE, CONCATENATE = "forbidden", "paginate", "concatenate"
 
 
 def asked(prompts: DataFrame, backend: Backend, key: str = "prompt", tries: int = 2) -> DataFrame:
-    """``prompts`` with raw, error and token counts. Distinct prompts are sent; a failure is retried and then is a value, not a failed task."""
+    """``prompts`` with raw, error and token counts. Distinct prompts are sent; a failure is retried and then is a value, not a failed task.
+
+    A null prompt isn't sent: its row stays, with the error no_content. Answers are joined by the prompt's hash.
+    """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             rows = []
-            for p in f[key]:
+            for h, p in zip(f["prompt_hash"], f[key], strict=True):
                 raw, error = None, None
                 for _ in range(tries):
                     try:
@@ -38,11 +43,42 @@ def asked(prompts: DataFrame, backend: Backend, key: str = "prompt", tries: int
                         break
                     except Exception as e:  # noqa: BLE001 - whatever a backend raises becomes the row's error
                         error = f"{type(e).__name__}: {e}"
-                rows.append((p, raw, error, X.count_tokens(p or ""), X.count_tokens(raw or "")))
-            yield pd.DataFrame(rows, columns=[key, "raw", "error", "input_tokens", "output_tokens"])
+                rows.append((h, raw, error))
+            yield pd.DataFrame(rows, columns=["prompt_hash", "raw", "error"])
+
+    hashed = prompts.withColumn("prompt_hash", F.sha2(key, 256))
+    sent = hashed.where(F.col(key).isNotNull()).select("prompt_hash", key).dropDuplicates(["prompt_hash"])
+    answers = sent.mapInPandas(run, "prompt_hash string, raw string, error string")
+    out = hashed.withColumn("input_tokens", F.coalesce(X.token_count(F.col(key)), F.lit(0)).cast("long")).join(answers, "prompt_hash", "left").drop("prompt_hash")
+    error = F.when(F.col(key).isNull(), F.lit("no_content")).otherwise(F.col("error"))
+    return out.select(*prompts.columns, "raw", error.alias("error"), "input_tokens", F.coalesce(X.token_count(F.col("raw")), F.lit(0)).cast("long").alias("output_tokens"))
+
+
+@dataclass(frozen=True)
+class Settings:
+    """How a model is asked. Thinking, once set either way, fixes the temperature at 1; the budget follows the content."""
+
+    model: str
+    temperature: float = 0.0
+    thinking: bool | None = None
+    dynamic: bool = False
+    timeout_s: int = 3000
+    token_limit: int | None = None
 
-    answers = prompts.select(key).distinct().mapInPandas(run, f"{key} string, {ANSWER}")
-    return prompts.join(answers, key)
+    def __post_init__(self) -> None:
+        if not self.model:
+            raise ValueError("a model is needed")
+
+    @property
+    def heat(self) -> float:
+        return self.temperature if self.thinking is None else 1.0
+
+    def request(self, msgs: Column, pages: Column) -> Column:
+        """The request as a struct; budgets follow the number of pages."""
+        thinking = numbers.thinking_tokens(pages)
+        most = numbers.answer_tokens(F.lit(self.token_limit).cast("int"), thinking, F.lit(bool(self.thinking)))
+        budget = F.when(F.lit(bool(self.thinking)), thinking)
+        return F.struct(F.lit(self.model).alias("model"), msgs.alias("messages"), F.lit(self.heat).alias("temperature"), most.alias("max_tokens"), budget.alias("thinking_tokens"), F.lit(self.timeout_s).alias("timeout"))
 
 
 class FallbackBackend:
@@ -142,6 +178,47 @@ def classified(docs: DataFrame, backend: Backend, key: str, content: str = "cont
     return a.select(key, r["name"].alias("name"), F.when(r["confidence"].between(1, 10), r["confidence"]).alias("confidence"), "error")
 
 
+def matched_classes(docs: DataFrame, backend: Backend, classes: list[tuple[str, str, T.StructType | None]], key: str, content: str = "content") -> DataFrame:
+    """(key, name, confidence, error, matched, class_ord, status): one call a document, told of all classes, and the class that its answer names."""
+    from sheaf.operators import classify, prompts
+
+    told = docs.select(key, F.concat(F.lit(prompts.classification_prompt(classes) + "\n\n"), prompts.prompt_text(F.col(content))).alias(content))
+    names = docs.sparkSession.createDataFrame([(c[0], k) for k, c in enumerate(classes)], "class_name string, ord int")
+    return classify.matched(classified(told, backend, key, content), names)
+
+
+def resolve_conflicts(merged: DataFrame, pages: DataFrame, backend: Backend, key: str, fields: list[str], page: str = "page_no", content: str = "content") -> DataFrame:
+    """Merged results whose conflicts a model settles: it is asked once a document that has any, and answers {field: {value, confidence}}. Without an answer the first candidate stays."""
+    from sheaf.operators import prompts
+
+    open_ = merge.in_conflict(merged, [key], fields)
+    asked_ = asked(prompts.conflict_prompt(open_, pages, key, page, content), backend)
+    told = F.from_json(X.thinking_json(F.col("raw")), "map<string,struct<value:string,confidence:double>>")
+    answers = asked_.select(key, F.explode(told).alias("field", "a")).select(key, "field", F.col("a.value").alias("value")).where("value is not null")
+    return merge.resolved(merged, answers, [key], fields)
+
+
+def extracted_by_chunk(docs: DataFrame, backend: Backend, contract: T.StructType, key: str, most: int, content: str = "content") -> DataFrame:
+    """(key, fields): the text is packed into chunks of ``most`` tokens, each is asked about, and the first value of each field that isn't null wins; lists are joined."""
+    from sheaf.operators import pages as P
+
+    parts = P.chunks(docs.select(F.col(key).alias("doc_id"), F.col(content).alias("text")), most)
+    relaxed = schema.relaxed(contract)
+    a = asked(parts.select("doc_id", "chunk_no", F.concat(F.lit("##Content\n\n"), F.col("content")).alias("prompt")), backend)
+    rows = a.select("doc_id", "chunk_no", schema.read(X.thinking_json(F.col("raw")), relaxed)["parsed"].alias("p")).select("doc_id", "chunk_no", "p.*")
+    lists = tuple(f.name for f in contract.fields if isinstance(f.dataType, T.ArrayType))
+    return merge.first_wins(rows, ["doc_id"], "chunk_no", [f.name for f in contract.fields if f.name not in lists], lists).withColumnRenamed("doc_id", key)
+
+
+def as_markdown(pages: DataFrame, backend: Backend, key: str, page: str = "page_no", content: str = "content", image: str | None = None) -> DataFrame:
+    """(key, page, markdown): every page rewritten by one call; a page that failed is a comment that says why."""
+    from sheaf.operators import prompts
+
+    ask = pages.select(key, page, F.concat(F.lit("Rewrite this page as Markdown.\n\n"), F.col(content)).alias("prompt"), (F.col(image) if image else F.lit(None).cast("binary")).alias("picture"))
+    a = asked(ask, backend)
+    return a.select(key, page, prompts.markdown_page(F.col("raw"), F.col("picture"), F.col("error"), F.col(page)).alias("markdown"))
+
+
 def cached(prompts: DataFrame, cache: DataFrame, key: str = "prompt") -> tuple[DataFrame, DataFrame]:
     """(answered, to be asked): by the prompt's hash, against a table of (prompt_hash, raw, error, input_tokens, output_tokens)."""
     p = prompts.withColumn("prompt_hash", F.sha2(key, 256))

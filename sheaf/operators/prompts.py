@@ -30,6 +30,21 @@ def image_parts(images: Column, mime: str = "image/jpeg") -> Column:
     return F.transform(F.coalesce(images, F.array().cast("array<binary>")), lambda b: F.struct(F.lit("image_url").alias("type"), data_uri(b, mime).alias("image_url")))
 
 
+def dynamic_prompt(prompt: Column) -> Column:
+    """For models that think aloud: reasoning between tags first, then the JSON in a fence."""
+    return F.concat(prompt, F.lit("\n\nReason step by step between <think> and </think>. Then give the result as JSON:\n```json\n{...}\n```"))
+
+
+def metadata(page: Column, apart: tuple[str, ...] = ("text", "images", "image", "content")) -> Column:
+    """A map of a page's entries without its text and images."""
+    return F.map_filter(page, lambda k, _: ~k.isin(*apart))
+
+
+def entry(m: Column, key: str, default: Column) -> Column:
+    """A map's value, or ``default`` where the map or the key is missing."""
+    return F.coalesce(F.try_element_at(m, F.lit(key)), default)
+
+
 def continuation(sent: Column, partial: Column) -> Column:
     return F.concat(sent, F.array(message("assistant", partial), message("user", F.lit(CONTINUE))))
 

@@ -99,3 +99,31 @@ def pairs_of_page(pairs: DataFrame, pages: DataFrame, doc: str) -> DataFrame:
     p = pairs.where("key <> '' and value <> ''").select(doc, "key", "value", "place", F.coalesce("regions", F.array().cast("array<int>")).alias("regions"))
     rows = pages.select(doc, "page_no").join(p, doc).where((F.size("regions") == 0) | F.array_contains("regions", F.col("page_no")))
     return rows.groupBy(doc, "page_no", "key").agg(F.max_by("value", "place").alias("value"))
+
+
+def fragments_text(fragments: Column) -> Column:
+    """Recognised fragments (with ``text``) as one text."""
+    return F.array_join(F.transform(fragments, lambda f: f["text"]), " ")
+
+
+def recognition_options(languages: tuple[str, ...] = ("eng",), page_mode: int = 3, engine: int = 3, variables: dict[str, str] | None = None) -> str:
+    """The command-line options of a character recognition run, checked."""
+    if page_mode not in range(14) or engine not in range(4):
+        raise ValueError("page modes go from 0 to 13, engines from 0 to 3")
+    return " ".join([f"--psm {page_mode} --oem {engine} -l {'+'.join(languages)}", *(f"-c {k}={v}" for k, v in (variables or {}).items())])
+
+
+def form_pairs(fields: Column) -> Column:
+    """Form fields as (key, value) of what has a name, blanks aside."""
+    pairs = F.transform(fields, lambda f: F.struct(F.trim(f["name"]).alias("key"), F.trim(F.coalesce(f["value"], F.lit(""))).alias("value")))
+    return F.filter(pairs, lambda p: F.coalesce(p["key"] != "", F.lit(False)))
+
+
+def with_page_images(pages: DataFrame, images: DataFrame, key: str, page: str = "page_no", image: str = "image") -> DataFrame:
+    """Pages with their image, by number; null where there is none."""
+    return pages.join(images.select(key, page, image), [key, page], "left")
+
+
+def sorted_entries(m: Column) -> Column:
+    """A map's entries by key."""
+    return F.array_sort(F.map_entries(m))

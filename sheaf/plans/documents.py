@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from sheaf.operators import classify, model, split
+from sheaf.operators import classify, evaluate, model, split
 from sheaf.operators.pages import joined, with_page_guard
+from sheaf.operators.store import written
 from sheaf.sources import files
 
 
@@ -40,8 +41,8 @@ class Documents:
         prompts = split.eager_prompts(self.pages, self.key).withColumnRenamed("content", "prompt")
         return split.eager_groups(model.asked(prompts, backend), self.key)
 
-    def classify(self, layers: list[list[model.Backend]], strategy: str = classify.CONSENSUS, threshold: float | None = None, store: Callable[[DataFrame], DataFrame] = lambda d: d) -> DataFrame:
-        """(key, name, confidence, layer): later layers are asked about what earlier ones leave open. ``store`` should write and reread."""
+    def classify(self, layers: list[list[model.Backend]], strategy: str = classify.CONSENSUS, threshold: float | None = None, store: Callable[[DataFrame], DataFrame] = written) -> DataFrame:
+        """(key, name, confidence, layer): later layers are asked about what earlier ones leave open. ``store`` writes and rereads each layer, so that no model is asked twice."""
         key = self.key
 
         def ask(backends: list[model.Backend]) -> Callable[[DataFrame], DataFrame]:
@@ -61,9 +62,26 @@ class Documents:
     def extract(self, backend: model.Backend, contract: T.StructType, strategy: str = model.FORBIDDEN) -> DataFrame:
         return model.extract(self.pages, backend, contract, self.key, strategy)
 
-    def extract_groups(self, groups: DataFrame, contracts: dict[str, tuple[T.StructType, model.Backend]]) -> dict[str, DataFrame]:
-        """One typed table a class: the groups of that class, extracted by its contract. Classes without a contract are left out."""
+    def extract_groups(self, groups: DataFrame, contracts: dict[str, tuple[T.StructType, model.Backend]]) -> dict[str | None, DataFrame]:
+        """One typed table a class: the groups of that class, extracted by its contract. Under None are (group_key, classification, status) of groups without a contract or pages."""
         from pyspark.sql import functions as F
 
         rows = split.group_pages(groups, self.pages, self.key).withColumn("group_key", F.concat_ws("#", F.col(self.key).cast("string"), "group_no"))
-        return {name: model.extract(rows.where(F.col("classification") == name), b, c, "group_key") for name, (c, b) in contracts.items()}
+        out: dict[str | None, DataFrame] = {name: model.extract(rows.where(F.col("classification") == name), b, c, "group_key") for name, (c, b) in contracts.items()}
+        keyed = groups.select(F.concat_ws("#", F.col(self.key).cast("string"), "group_no").alias("group_key"), "classification")
+        known = F.coalesce(F.col("classification").isin(*contracts), F.lit(False))
+        lost = keyed.join(rows.select("group_key").distinct().withColumn("there", F.lit(True)), "group_key", "left").where(~known | F.col("there").isNull())
+        out[None] = lost.select("group_key", "classification", F.when(known, "no_pages").otherwise("no_contract").alias("status"))
+        return out
+
+    def resolve(self, backend: model.Backend, contract: T.StructType, judge: model.Backend) -> DataFrame:
+        """Page by page as PAGINATE, but ``judge`` is asked about conflicts."""
+        merged = written(model.extracted_by_page(self.pages, backend, contract, self.key))
+        return model.resolve_conflicts(merged, self.pages, judge, self.key, [f.name for f in contract.fields])
+
+    def markdown(self, backend: model.Backend) -> DataFrame:
+        return model.as_markdown(self.pages, backend, self.key)
+
+    def evaluate(self, predicted: DataFrame, labels: DataFrame, fields: list[str], config: DataFrame, name: str = "evaluation") -> dict[str, DataFrame]:
+        """Predictions of this set against labels, in one call: see ``evaluate.evaluated``."""
+        return evaluate.evaluated(self.text(), predicted, labels, fields, config, self.key, name)

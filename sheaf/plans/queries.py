@@ -194,8 +194,9 @@ def split_documents(spark: SparkSession, d: str) -> DataFrame:
     p = _conversation_pages(spark, d)
     v = split.verdicts(p, F.col("after.role") != "user", _page_class("now"), _page_class("after"), "conv_id")
     groups = split.lazy_groups(v, "conv_id")
-    rows = groups.join(p.groupBy("conv_id").agg(F.map_from_entries(F.collect_list(F.struct(F.col("page_no").cast("int"), "content"))).alias("text")), "conv_id")
-    content = F.array_join(F.filter(F.transform("pages", lambda n: F.element_at("text", n)), lambda x: x != ""), "\n\n")
+    rows = groups.join(p.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct(F.col("page_no").cast("int").alias("n"), "content"))).alias("text")), "conv_id")
+    own = F.filter("text", lambda x: F.array_contains("pages", x["n"]) & (x["content"] != ""))
+    content = F.array_join(F.transform(own, lambda x: x["content"]), "\n\n")
     out = rows.select("conv_id", "group_no", "classification", content.alias("content"), F.size("pages").cast("long").alias("num_pages"))
     return out.withColumn("tokens", X.token_count(F.col("content")))
 
@@ -378,9 +379,9 @@ def docs_missing_labels(spark: SparkSession, d: str) -> DataFrame:
     return evaluate.unlabelled(table(spark, d, "documents").select("doc_id"), table(spark, d, "labels"), "doc_id")
 
 
-@query("SELECT doc_id, quality FROM labels l WHERE NOT EXISTS (SELECT 1 FROM documents d WHERE l.doc_id = d.doc_id AND d.n_chars > 500)")
+@query("SELECT doc_id, quality FROM labels l WHERE NOT EXISTS (SELECT 1 FROM documents d WHERE l.doc_id = d.doc_id)")
 def labels_missing_docs(spark: SparkSession, d: str) -> DataFrame:
-    return evaluate.orphaned(table(spark, d, "labels").select("doc_id", "quality"), table(spark, d, "documents").where("n_chars > 500"), "doc_id")
+    return evaluate.orphaned(table(spark, d, "labels").select("doc_id", "quality"), table(spark, d, "documents"), "doc_id")
 
 
 @query("SELECT doc_id, n_chars, quality, toxic FROM documents JOIN labels USING (doc_id)")

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import csv
 import importlib.util
+import io
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sheaf.functions import text as X
 from sheaf.operators import pages as P
@@ -31,16 +35,25 @@ def read_html(spark: SparkSession, path: str, headers: str = "include", exact: b
     return t.select("path", F.lit(1).alias("page_no"), content.alias("content"))
 
 
+@F.pandas_udf(T.StringType())
+def sheet_text(files: pd.Series) -> pd.Series:
+    """A CSV file as text: cells between bars, empty ones kept, rows as lines, rows of empty cells left out. Quoted cells may hold commas and line breaks."""
+
+    def one(text: str) -> str:
+        rows = csv.reader(io.StringIO(text, newline=""))
+        return "\n".join(" | ".join(cells) for cells in rows if any(cells))
+
+    limit = csv.field_size_limit(2**31 - 1)
+    try:
+        return files.map(one, na_action="ignore")
+    finally:
+        csv.field_size_limit(limit)
+
+
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
-    """(path, page_no, content, is_spreadsheet): a file is a sheet, its rows lines. The order of lines is that of the file."""
-    lines = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("v"))
-    rows = lines.select("path", F.posexplode(F.split("v", "\r?\n")).alias("at", "line"))
-    # no line has more cells than commas and one; counting them is a pass over the files
-    width = rows.agg(F.max(F.size(F.split("line", ",")))).first()[0] or 1
-    cells = F.from_csv("line", ", ".join(f"c{i} string" for i in range(width)), {"mode": "PERMISSIVE", "maxColumns": str(width + 1)})
-    used = F.map_values(F.from_json(F.to_json(cells), "map<string,string>"))  # JSON leaves out nulls and keeps the order
-    rows = rows.select("path", "at", F.array_join(used, " | ").alias("line")).where(X.strip(F.col("line")) != "")
-    return rows.groupBy("path").agg(F.array_join(P.ordered("line", "at"), "\n").alias("content")).select("path", F.lit(1).alias("page_no"), "content", F.lit(True).alias("is_spreadsheet"))
+    """(path, page_no, content, is_spreadsheet): a file is a sheet. Rows may have any number of cells."""
+    t = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("v"))
+    return t.select("path", F.lit(1).alias("page_no"), sheet_text("v").alias("content"), F.lit(True).alias("is_spreadsheet"))
 
 
 def read_labels(spark: SparkSession, path: str) -> DataFrame:
@@ -50,12 +63,29 @@ def read_labels(spark: SparkSession, path: str) -> DataFrame:
     return t.select(F.explode(m).alias("doc_id", "v")).select(F.lower(F.trim("doc_id")).alias("doc_key"), "doc_id", F.to_json("v").alias("expected")).drop("doc_key")
 
 
-def read_data(spark: SparkSession, items: list[dict]) -> DataFrame:
-    """Pages from values in memory; each needs ``content``."""
+def read_data(spark: SparkSession, items: object, vision: bool = False) -> DataFrame:
+    """Pages from values in memory: a text, which may be a file's path, a stream, one page as a dict, or a list of pages. Each page needs ``content``.
+
+    A page without an image has none, or with ``vision`` an empty one.
+    """
+    if isinstance(items, str):
+        try:
+            with open(items, encoding="utf-8") as f:
+                items = f.read()
+        except (OSError, ValueError):  # no path, so the text itself
+            pass
+        items = [{"content": items}]
+    elif hasattr(items, "read"):
+        got = items.read()
+        items = [{"content": got.decode("utf-8") if isinstance(got, bytes) else got}]
+    elif isinstance(items, dict):
+        items = [items]
+    elif not isinstance(items, list):
+        raise ValueError("a text, a stream, a dict or a list of dicts is needed")
     for i in items:
         if not isinstance(i, dict) or "content" not in i:
             raise ValueError("each page is a dict with content")
-    rows = [(n + 1, i["content"], i.get("image")) for n, i in enumerate(items)]
+    rows = [(n + 1, i["content"], i.get("image", b"" if vision else None)) for n, i in enumerate(items)]
     return spark.createDataFrame(rows, "page_no int, content string, image binary")
 
 
@@ -77,7 +107,7 @@ class Loader:
     def __call__(self, spark: SparkSession, path: str, **options: object) -> DataFrame:
         if self.read is None:
             there = bool(self.needs) and importlib.util.find_spec(self.needs) is not None
-            raise MissingCodec(f"{self.name} needs {self.needs}, which {'has no adapter registered' if there else 'is not installed'}; register a reader with loaders.register")
+            raise MissingCodec(f"{self.name} needs {self.needs}, which {'has no adapter registered' if there else 'is not installed'}; register a reader with files.register")
         return self.read(spark, path, **options)
 
 
@@ -118,6 +148,51 @@ def route(extension: str, primary: str | None = None) -> Loader | None:
     return next((x for x in fits if x.read), fits[0] if fits else None)
 
 
+VISION = ("pdf", "jpg", "jpeg", "png", "tiff", "bmp")
+
+
+def sees(path: Column, content: Column | None = None) -> Column:
+    """Whether a source can be shown to a model as images: an address, a PDF or an image by its extension, or by its first bytes."""
+    by_name = X.is_url(path) | X.extension(path).isin(*VISION)
+    return by_name if content is None else by_name | F.coalesce(X.sniffed(content).isin("pdf", "jpg", "jpeg", "png", "tiff", "bmp", "gif"), F.lit(False))
+
+
+def paginates(path: Column, content: Column | None = None) -> Column:
+    """Whether a source has pages of its own: PDF only."""
+    by_name = X.extension(path) == "pdf"
+    return by_name if content is None else by_name | X.is_pdf(content)
+
+
+def choose(source: object, primary: str | None = None, vision: bool = False) -> str | None:
+    """The name of the loader of a source: the primary one if it can, the one of the extension, values in memory, with ``vision`` an image loader; else None."""
+    if isinstance(source, (list, dict)) or hasattr(source, "read"):
+        return "data"
+    ext = str(source).rsplit(".", 1)[-1].lower() if "." in str(source).rsplit("/", 1)[-1] else ""
+    found = route(ext, primary)
+    if found is not None:
+        return found.name
+    return "llm_image" if vision and (ext in VISION or str(source).startswith(("http://", "https://"))) else None
+
+
+def load_folder(spark: SparkSession, path: str, primary: str | None = None) -> DataFrame:
+    """(path, page_no, content) of a folder of mixed files: those of each extension by their loader, as one table.
+
+    The extensions come from a listing of names; files that no loader reads have one row without content and an error.
+    """
+    names = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", X.extension(F.col("path")).alias("ext"))
+    out = None
+    for ext in sorted(r["ext"] for r in names.select("ext").distinct().collect()):
+        loader = route(ext, primary)
+        if loader is not None and loader.read is not None:
+            pages = loader(spark, f"{path.rstrip('/')}/*.{ext}")
+            pages = pages.select("path", "page_no", "content", F.lit(None).cast("string").alias("error"))
+        else:
+            why = "no loader" if loader is None else f"{loader.name} needs {loader.needs}"
+            pages = names.where(F.col("ext") == ext).select("path", F.lit(1).alias("page_no"), F.lit(None).cast("string").alias("content"), F.lit(why).alias("error"))
+        out = pages if out is None else out.unionByName(pages)
+    return spark.createDataFrame([], "path string, page_no int, content string, error string") if out is None else out
+
+
 def load(spark: SparkSession, path: str, primary: str | None = None, **options: object) -> DataFrame:
     """The pages of the files at ``path``, by the loader of its extension."""
     ext = path.rsplit(".", 1)[-1].lower() if "." in path.rsplit("/", 1)[-1] else ""

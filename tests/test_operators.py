@@ -1,7 +1,10 @@
+import io
+
 import pytest
 from pyspark.sql import functions as F
 
-from sheaf import schema
+from sheaf import cli, schema
+from sheaf.functions import similarity
 from sheaf.functions import text as X
 from sheaf.operators import classify, evaluate, merge, model, pages, prompts, split, tables
 from sheaf.plans.documents import Documents
@@ -9,7 +12,7 @@ from sheaf.sources import files, mime
 
 
 def rows(df, *order):
-    return [tuple(r) for r in df.orderBy(*order).collect()]
+    return [tuple(r) for r in (df.orderBy(*order) if order else df).collect()]
 
 
 def test_chunks_against_python(spark):
@@ -197,3 +200,136 @@ def test_csv_of_many_columns(spark, tmp_path):
     assert lines[:4] == [" | ".join(c) for c in cells] and lines[4].endswith(" | é\\x")
     (tmp_path / "none.csv").write_text("", encoding="utf-8")
     assert files.load(spark, str(tmp_path / "none.csv")).count() == 0
+
+
+def test_folder_of_mixed_files(spark, tmp_path):
+    (tmp_path / "a.txt").write_text("plain", encoding="utf-8")
+    (tmp_path / "b.csv").write_text('x,,"two\nlines"\n,,\n1,2\n', encoding="utf-8")
+    (tmp_path / "c.xyz").write_text("?", encoding="utf-8")
+    (tmp_path / "d.pdf").write_bytes(b"%PDF-1.4")
+    got = {r["path"].rsplit("/", 1)[1]: (r["content"], r["error"]) for r in files.load_folder(spark, str(tmp_path)).collect()}
+    assert got == {"a.txt": ("plain", None), "b.csv": ("x |  | two\nlines\n1 | 2", None), "c.xyz": (None, "no loader"), "d.pdf": (None, "pypdf needs pypdf")}
+    p = spark.createDataFrame([("a.pdf", b"x"), ("b.txt", b"%PDF-1"), ("c.txt", b"x"), ("https://x.org/a", None)], "path string, content binary")
+    assert [tuple(r) for r in p.select(files.sees(F.col("path"), F.col("content")), files.paginates(F.col("path"), F.col("content"))).collect()] == [(True, True), (True, True), (False, False), (True, False)]
+    assert files.choose([{"content": "x"}]) == "data" and files.choose("a.txt") == "txt" and files.choose("a.what") is None and files.choose("https://x.org/a", vision=True) == "llm_image"
+
+
+def test_values_in_memory(spark, tmp_path):
+    (tmp_path / "a.txt").write_text("from a file", encoding="utf-8")
+    first = lambda x, **k: files.read_data(spark, x, **k).first()
+    assert first("just text")["content"] == "just text" and first(str(tmp_path / "a.txt"))["content"] == "from a file"
+    assert first(io.BytesIO("é".encode()))["content"] == "é" and first({"content": "one"})["image"] is None
+    assert first([{"content": "one"}], vision=True)["image"] == b""
+    with pytest.raises(ValueError):
+        files.read_data(spark, 5)
+
+
+def counted(path, answer):
+    def call(prompt):
+        with open(path, "a", encoding="utf-8") as f:
+            f.write("x")
+        return answer(prompt) if callable(answer) else answer
+
+    return call
+
+
+def calls(path):
+    return len(path.read_text(encoding="utf-8")) if path.exists() else 0
+
+
+def test_null_prompts_stay_and_equal_ones_are_asked_once(spark, tmp_path):
+    p = spark.createDataFrame([(1, "a"), (2, "a"), (3, None)], "k int, prompt string")
+    got = rows(model.asked(p, counted(str(tmp_path / "n"), "yes")).select("k", "raw", "error", "input_tokens", "output_tokens"), "k")
+    assert got == [(1, "yes", None, 1, 1), (2, "yes", None, 1, 1), (3, None, "no_content", 0, 0)] and calls(tmp_path / "n") == 1
+    bad = model.asked(p.where("k = 1"), counted(str(tmp_path / "b"), lambda _: 1 / 0)).first()
+    assert bad["error"].startswith("ZeroDivisionError") and calls(tmp_path / "b") == 2
+
+
+def test_classification_asks_each_model_once(spark, tmp_path):
+    pages_ = spark.createDataFrame([(k, 1, f"text {k}") for k in range(4)], "doc_id int, page_no int, content string")
+    a = counted(str(tmp_path / "a"), '{"name": "x", "confidence": 9}')
+    b = counted(str(tmp_path / "b"), lambda p: '{"name": "x", "confidence": 8}' if p[-1] in "01" else '{"name": "y", "confidence": 8}')
+    c = counted(str(tmp_path / "c"), '{"name": "z", "confidence": 9}')
+    out = Documents(pages_).classify([[a, b], [c]])
+    assert rows(out.select("doc_id", "name", "layer"), "doc_id") == [(0, "x", 0), (1, "x", 0), (2, "z", 1), (3, "z", 1)]
+    assert [calls(tmp_path / x) for x in "abc"] == [4, 4, 2]
+    told = model.matched_classes(Documents(pages_.where("doc_id = 0")).text(), model.KeywordBackend([("text 0", "X", 7)]), [("w", "other", None), ("x", "this", schema.contract("n INT"))], "doc_id")
+    assert rows(told.select("matched", "class_ord", "confidence", "status")) == [("x", 1, 7, "ok")]
+
+
+def test_groups_to_typed_tables(spark):
+    pages_ = spark.createDataFrame([(1, 1, "No: 5"), (1, 2, "No: 6"), (1, 3, "x")], "doc_id int, page_no int, content string")
+    d = Documents(pages_)
+    starts = F.col("after.content").startswith("No:") | F.col("after.content").startswith("x")
+    groups = d.split_lazy(~starts, F.when(F.col("now.content") == "x", "odd").otherwise("bill"), F.when(F.col("after.content") == "x", "odd").otherwise("bill"))
+    assert rows(groups.select("group_no", "classification", "pages"), "group_no") == [(1, "bill", [1]), (2, "bill", [2]), (3, "odd", [3])]
+    out = d.extract_groups(groups, {"bill": (schema.contract("number STRING"), model.RegexBackend({"number": r"No: (\d)"}))})
+    assert rows(out["bill"].select("group_key", "number"), "group_key") == [("1#1", "5"), ("1#2", "6")]
+    assert rows(out[None]) == [("1#3", "odd", "no_contract")]
+    eager = d.split_eager(lambda p: '{"groupOfDocuments": [{"pages": [1, 2], "classification": "bill"}]}')
+    assert rows(eager.select("group_no", "classification", "pages")) == [(1, "bill", [1, 2])]
+
+
+def test_conflicts_chunks_and_markdown(spark, tmp_path):
+    pages_ = spark.createDataFrame([(1, 1, "No: 5"), (1, 2, "No: 6"), (2, 1, "No: 7")], "doc_id int, page_no int, content string")
+    d = Documents(pages_)
+    read = model.RegexBackend({"number": r"No: (\d)"})
+    judge = counted(str(tmp_path / "j"), lambda p: '{"number": {"value": "6", "confidence": 9}}' if "5 | 6" in p else "?")
+    assert rows(d.resolve(read, schema.contract("number STRING"), judge), "doc_id") == [(1, "6"), (2, "7")] and calls(tmp_path / "j") == 1
+    long = spark.createDataFrame([(1, "nothing here\n\nNo: 4\n\nNo: 9"), (2, "none")], "doc_id int, content string")
+    assert rows(model.extracted_by_chunk(long, read, schema.contract("number STRING"), "doc_id", 4), "doc_id") == [(1, "4"), (2, None)]
+    page = lambda p: "# Five" if "5" in p else 1 / 0
+    got = rows(d.markdown(page).select("doc_id", "page_no", "markdown"), "doc_id", "page_no")
+    assert got[0] == (1, 1, "# Five") and got[1][2].startswith("<!-- Error processing page 2: ZeroDivisionError")
+
+
+def test_evaluation_in_one_call(spark):
+    docs = spark.createDataFrame([(k, 1, t) for k, t in ((1, "total 10 for ann"), (2, "total 20"), (3, "total 30"))], "doc_id int, page_no int, content string")
+    kind = "doc_id int, total string, tags array<string>, who struct<name:string>"
+    labels = spark.createDataFrame([(1, "10", ["a", "b"], ("ann",)), (2, "20", [], ("bob",)), (3, "30", None, None)], kind)
+    predicted = spark.createDataFrame([(1, "10.05", ["a", "b"], ("ann",)), (2, "99", [], ("bob",))], kind)
+    config = spark.createDataFrame([("total", "NUMERIC", 0.8, 0.01)], "field string, kind string, threshold double, tolerance double")
+    out = Documents(docs).evaluate(predicted, labels, ["total", "tags", "who"], config)
+    assert rows(out["rows"].select("doc_id", "field", "present", "matched"), "doc_id", "field") == [(1, "tags", True, True), (1, "total", True, True), (1, "who", True, True), (2, "tags", True, True), (2, "total", True, False), (2, "who", True, True), (3, "total", False, False)]
+    m = {r["field"]: (r["tp"], r["fp"], r["fn"]) for r in out["field_metrics"].collect()}
+    assert m == {"total": (1, 1, 1), "tags": (2, 0, 0), "who": (2, 0, 0)}
+    assert rows(out["documents"]) == [(3, 1 / 3)] and rows(out["schema"]) == [(3, 2 / 3)]
+    assert '"documents":{"documents":3' in out["report"].first()["report"]
+    custom = evaluate.compared(spark.createDataFrame([(1, "f", "a")], "doc_id int, field string, expected string"), spark.createDataFrame([(1, "f", "b")], "doc_id int, field string, predicted string"), spark.createDataFrame([("f", "CUSTOM", 0.8, 0.01)], config.schema), "doc_id", custom=F.length("expected") == F.length("predicted"))
+    assert custom.first()["matched"]
+
+
+def test_nested_values(spark):
+    p = spark.createDataFrame([('{"b": 1, "a": [1, 2]}', '{"a": [1, 2.0], "b": true}'), ('{"a": null}', "{}"), ("[1]", "[1, 2]"), ("x", "x"), (None, None)], "a string, b string")
+    assert [r[0] for r in p.select(similarity.deep_equal("a", "b")).collect()] == [True, True, False, True, True]
+    e = spark.createDataFrame([(' {"b": 1, "a": "x"}', '{"a":"x","b":1}'), ("[1, 2]", "[2, 1]"), ("{x", "{x ")], "a string, b string")
+    assert [r[0] for r in e.select(similarity.exact(F.col("a"), F.col("b"))).collect()] == [True, False, True]
+    s = spark.createDataFrame([('["ann", "zzzz"]',), ('{"n": "ann", "m": {}}',), ("[]",), ('[{"a": 1}]',), ("Ann",), (None,)], "v string")
+    got = [r[0] for r in s.select(similarity.support(F.col("v"), F.lit("Ann was here"))).collect()]
+    assert got == [pytest.approx(0.45), pytest.approx(0.25), 0.0, 0.5, 0.0, None] or got[:5] == [pytest.approx(0.45), pytest.approx(0.25), 0.0, 0.5, 0.0]
+
+
+def test_settings_and_small_parts(spark):
+    assert model.Settings("m").heat == 0 and model.Settings("m", thinking=False).heat == 1
+    with pytest.raises(ValueError):
+        model.Settings("")
+    r = spark.range(1).select(model.Settings("m", thinking=True).request(F.lit("hi"), F.lit(6)).alias("r")).first()["r"]
+    assert (r["model"], r["temperature"], r["max_tokens"], r["thinking_tokens"]) == ("m", 1.0, 3000, 3000)
+    assert tables.recognition_options(("eng", "deu"), 6, 1, {"a": "b"}) == "--psm 6 --oem 1 -l eng+deu -c a=b"
+    with pytest.raises(ValueError):
+        tables.recognition_options(page_mode=14)
+    one = spark.createDataFrame([({"b": "2", "text": "t"}, [("n ", None), ("", "x")], [("a",), ("b",)])], "m map<string,string>, f array<struct<name:string,value:string>>, t array<struct<text:string>>")
+    got = one.select(prompts.metadata(F.col("m")).alias("m"), prompts.entry(F.col("m"), "q", F.lit("none")).alias("e"), tables.form_pairs(F.col("f")).alias("f"), tables.fragments_text(F.col("t")).alias("t"), tables.sorted_entries(F.col("m")).alias("s"), prompts.dynamic_prompt(F.lit("p")).alias("p")).first()
+    assert got["m"] == {"b": "2"} and got["e"] == "none" and [tuple(x) for x in got["f"]] == [("n", "")] and got["t"] == "a b" and got["s"][0]["key"] == "b" and got["p"].startswith("p\n\n")
+    p = spark.createDataFrame([(1, 1), (1, 2)], "doc int, page_no int")
+    assert rows(tables.with_page_images(p, p.where("page_no = 2").withColumn("image", F.lit("i")), "doc"), "page_no") == [(1, 1, None), (1, 2, "i")]
+
+
+def test_command_line(spark, tmp_path):
+    (tmp_path / "docs").mkdir()
+    (tmp_path / "docs" / "a.txt").write_text("No: 5", encoding="utf-8")
+    (tmp_path / "labels.json").write_text('{"a.txt": {"number": "5"}}', encoding="utf-8")
+    out = cli.run(spark, {"documents": str(tmp_path / "docs"), "labels": str(tmp_path / "labels.json"), "contract": "number STRING", "patterns": {"number": r"No: (\d)"}, "output": str(tmp_path / "out")})
+    assert rows(out["documents"]) == [(1, 1.0)] and '"accuracy":1.0' in spark.read.text(str(tmp_path / "out")).first()[0]
+    with pytest.raises(ValueError):
+        cli.run(spark, {})

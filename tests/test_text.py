@@ -30,11 +30,33 @@ def test_json_in_model_text(spark):
     assert one(spark, X.continues_json, t="[1") and not one(spark, X.continues_json, t="no")
 
 
-def test_truncation_keeps_whole_sentences():
+def test_truncation_looks_for_the_stop_in_the_half_that_is_left():
     text = "One two three. Four five six. Seven eight nine."
     cut = X.cut_to_tokens(text, 7)
-    assert cut == "One two three...." and X.count_tokens(cut) <= 9
-    assert X.cut_to_tokens(text, 100) == text
+    assert cut.endswith("....") and text.startswith(cut[:-3])
+    assert X.cut_to_tokens(text, 100) == text and X.cut_to_tokens("", 0) == ""
+    assert X.cut_to_tokens("word " * 50, 5).endswith("...")
+
+
+def test_truncation_against_recursion():
+    import random
+
+    def place(text, most, low, high):
+        if low >= high:
+            return low
+        half = (low + high) // 2
+        stops = [k for k in range(low, half) if text[k] == "."]
+        end = (stops[-1] if stops else half) + 1
+        return place(text, most, half + 1, high) if X.count_tokens(text[:end]) <= most else place(text, most, low, half)
+
+    r = random.Random(1)
+    for _ in range(300):
+        text = "".join(r.choice("ab c. de, fghi") for _ in range(r.randrange(1, 120)))
+        most = r.randrange(1, 20)
+        at = place(text, most, 0, len(text))
+        stops = [k for k in range(at) if text[k] == "."]
+        want = text if X.count_tokens(text) <= most else text[: (stops[-1] if stops else at) + 1] + "..."
+        assert X.cut_to_tokens(text, most) == want
 
 
 def test_names_and_addresses(spark):
