@@ -133,6 +133,15 @@ def words(column: pa.Array, table: np.ndarray = ALNUM) -> Words:
     return Words(raw, start, end, h, np.searchsorted(start, o), o)
 
 
+def byte_sums(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Prefix sums of a polynomial over bytes, and the powers that bring a difference of two of them to the start."""
+    up, down = powers(len(raw) + 1)
+    sums = np.empty(len(raw) + 1, np.uint64)
+    sums[0] = 0
+    np.cumsum(_TABLE[raw] * up[: len(raw)], out=sums[1:])
+    return sums, down
+
+
 def ngrams(w: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the n-grams of each document, and the first of each (documents + 1). Fewer words than n make one n-gram."""
     c = w.counts()

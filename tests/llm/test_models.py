@@ -260,17 +260,62 @@ def test_context_mixing_against_one_bit_at_a_time(spark):
     model = lm_score.gather(d)
     raws = [np.frombuffer(t.encode(), np.uint8) for t in texts]
     first = np.concatenate([[0], np.cumsum([len(x) for x in raws])])
-    got = lm_score.coded_bits(np.concatenate(raws), first, model)
+    got = lm_score.byte_bits(np.concatenate(raws), first, model)
     for k, raw in enumerate(raws):
-        assert abs(got[k] - (slow_bits(raw, model) if len(raw) else 0)) < 1e-2 * max(1, got[k])
+        own = got[first[k] : first[k + 1]].sum()
+        assert abs(own - (slow_bits(raw, model) if len(raw) else 0)) < 1e-2 * max(1, own)
     whole = lm_score._long_bits(raws[1], model, step=lm_score.SEGMENT)
-    assert abs(whole - lm_score.coded_bits(raws[1], np.array([0, len(raws[1])]), model)[0]) < 1
+    assert np.abs(whole - lm_score.byte_bits(raws[1], np.array([0, len(raws[1])]), model)).sum() < 1
+
+
+def test_phrases_cut_all_bytes_alike():
+    r = random.Random(13)
+    shared = prose(r, 200)
+    texts = [prose(r, 50) + " " + shared, "", "  \n", shared + "\t é", "one", None]
+    start, doc, key = lm_score.phrases(pa.array(texts))
+    raw = "".join(t or "" for t in texts).encode()
+    parts = [raw[a:b] for a, b in zip(start, [*start[1:], len(raw)])]
+    for k, t in enumerate(texts):
+        assert b"".join(p for p, d in zip(parts, doc) if d == k) == (t or "").encode()
+    of = {}
+    for p, k in zip(parts, key.tolist()):
+        assert of.setdefault(k, p) == p
+    assert len(set(key[doc == 0].tolist()) & set(key[doc == 3].tolist())) >= 5
+
+
+def test_gate_against_one_phrase_at_a_time():
+    r = np.random.default_rng(3)
+    for many, known in ((1, 0), (1, 1), (9, 4), (40, 40), (25, 1)):
+        place = np.sort(r.choice(many, known, replace=False)).astype(float)
+        cost, share = r.uniform(1, 200, known), r.uniform(1e-6, 1e-2, known)
+        total, seen = 0.0, 0
+        for k in range(many):
+            gate = (seen + lm_score.KNOWN) / (k + lm_score.KNOWN + lm_score.NEW)
+            if k in place:
+                i = int(np.searchsorted(place, k))
+                total += -np.log2(gate * share[i] + (1 - gate) * 2.0 ** -cost[i]) - cost[i]
+                seen += 1
+            else:
+                total -= np.log2(1 - gate)
+        assert abs(lm_score.gated(many, place, cost, share) - total) < 1e-6
+
+
+def test_texts_that_occur_twice_are_known(spark):
+    r = random.Random(14)
+    texts = [prose(r, 150, 3000) for _ in range(60)]
+    rows = list(enumerate([*texts, texts[7], texts[9] + " " + prose(r, 10, 3000)]))
+    got = {x["doc_id"]: x["bits_per_byte"] for x in lm_score.bits_per_byte(table(spark, rows)).collect()}
+    once = [got[k] for k in range(60) if k not in (7, 9)]
+    assert all(got[k] < 0.5 * min(once) for k in (7, 9, 60, 61))
+    # a phrase that only the text itself repeats isn't known
+    own = {x["doc_id"]: x["bits_per_byte"] for x in lm_score.bits_per_byte(table(spark, [*enumerate(texts), (99, texts[0].replace("w1", "v1") * 2)])).collect()}
+    assert own[99] > 0.5 * min(once)
 
 
 def test_familiar_text_takes_fewer_bits(spark):
     r = random.Random(12)
     model = lm_score.gather(spark.createDataFrame([(i, prose(r, 80, 50)) for i in range(60)], "id long, text string"))
-    rate = lambda t: lm_score.coded_bits(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t)]), model)[0] / len(t)
+    rate = lambda t: lm_score.byte_bits(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t)]), model).mean()
     assert rate(prose(r, 80, 50)) < 3 < rate("".join(chr(33 + r.randrange(90)) for _ in range(400)))
 
 
