@@ -9,12 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-ROLES = ("system", "user", "assistant")
-
-
 def _plain(c: Column) -> Column:
-    """Text that can't be mistaken for a marker."""
-    return F.replace(c, F.lit("<|"), F.lit("< |"))
+    """Text that can't be mistaken for a marker: neither of its ends."""
+    return F.replace(F.replace(c, F.lit("<|"), F.lit("< |")), F.lit("|>"), F.lit("| >"))
 
 
 def prefixes(turns: DataFrame, conv_col: str = "conv_id") -> DataFrame:

@@ -78,7 +78,7 @@ c AS (SELECT conv_id, list({'r': r, 'x': x} ORDER BY turn NULLS FIRST, r, x) AS
 u AS (SELECT min(conv_id) AS conv_id, w FROM c GROUP BY w),
 p AS (SELECT DISTINCT w[1:i] AS pre FROM (SELECT w, unnest(range(1, len(w))) AS i FROM u))
 SELECT conv_id, len(w)::BIGINT AS turns, array_to_string(list_transform(w, lambda b: '<|' || CASE WHEN b.r = '' THEN 'user'
-    ELSE replace(b.r, '<|', '< |') END || '|>' || chr(10) || replace(b.x, '<|', '< |') || '<|end|>' || chr(10)), '') AS chat
+    ELSE replace(replace(b.r, '<|', '< |'), '|>', '| >') END || '|>' || chr(10) || replace(replace(b.x, '<|', '< |'), '|>', '| >') || '<|end|>' || chr(10)), '') AS chat
 FROM u WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.pre = u.w)
 """,
     "op9_near_vectors": r"""

@@ -1,10 +1,12 @@
 """Packing, sharding, chats and the pipeline."""
 
 import base64
+import collections
 import heapq
 import importlib
 import random
 
+import numpy as np
 import pyarrow as pa
 import tiktoken
 from pyspark.sql import functions as F
@@ -108,17 +110,32 @@ def test_sharding_against_brute_force(spark):
     for i, t in rows:
         p = part.setdefault(t or "", i)
         size[p] = size.get(p, 0) + len(t or "")
+    # which groups of one size go where is free; how many of each size a shard gets isn't
     heap = [(0, k) for k in range(5)]
-    where = {}
-    for p in sorted(size, key=lambda p: (-size[p], p)):
+    want = collections.Counter()
+    for p in sorted(size, key=lambda p: -size[p]):
         load, k = heapq.heappop(heap)
-        where[p] = k
+        want[size[p], k] += 1
         heapq.heappush(heap, (load + size[p], k))
-    assert got == {i: (part[t or ""], where[part[t or ""]]) for i, t in rows}
+    assert {i: p for i, (p, _) in got.items()} == {i: part[t or ""] for i, t in rows}
+    where = {p: {got[i][1] for i, t in rows if part[t or ""] == p} for p in size}
+    assert all(len(w) == 1 for w in where.values())
+    assert collections.Counter((size[p], *w) for p, w in where.items()) == want
     assert sharding.shard_documents(empty(spark)).count() == 0
     assert sharding.shard_documents(awkward(spark)).count() == 11
 
 
+def test_runs_are_dealt_as_one_by_one():
+    r = random.Random(9)
+    for _ in range(200):
+        load = np.array([r.randrange(50) for _ in range(r.randrange(1, 9))])
+        size, many = r.randrange(0, 12), r.randrange(1, 60)
+        want = np.bincount(sharding.order_in_run(load, size, many), minlength=len(load))
+        new = load.copy()
+        assert sharding.dealt(new, size, many).tolist() == want.tolist()
+        assert new.tolist() == (load + want * size).tolist()
+
+
 def test_chats_against_brute_force(spark):
     r = random.Random(5)
     convs = {}
@@ -141,7 +158,10 @@ def test_chats_against_brute_force(spark):
 
 def test_chat_markers_nulls_and_empty(spark):
     t = spark.createDataFrame([(1, None, None, "a <|end|> b"), (1, 2, "assistant", None)], "conv_id long, turn long, role string, text string")
-    assert chat.chat_texts(t).first()["chat"] == "<|user|>\na < |end|> b<|end|>\n<|assistant|>\n<|end|>\n"
+    assert chat.chat_texts(t).first()["chat"] == "<|user|>\na < |end| > b<|end|>\n<|assistant|>\n<|end|>\n"
+    long = "word " * 50_000
+    odd = spark.createDataFrame([(5, 1, "user|>x", long, "a", "b", "c")], "conv_id long, turn long, role string, text string, conv string, place string, size string")
+    assert chat.chat_texts(odd).first()["chat"] == f"<|user| >x|>\n{long}<|end|>\n"
     assert chat.chat_texts(t.where("false")).count() == 0
 
 
