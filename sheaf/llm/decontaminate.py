@@ -314,6 +314,9 @@ def _portions(items: list[Item], most: int = storage.BROADCAST_BYTES // 2) -> It
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **kw: object) -> DataFrame:
-    """``docs`` without the documents that ``leaks`` finds; rows without an id are kept. Columns stay as they are."""
+    """``docs`` without the documents that ``leaks`` finds; rows without an id, null and empty texts are kept. Columns stay as they are.
+
+    All rows of an id go if one of them holds an item. An empty table gives an empty result; an empty benchmark removes nothing.
+    """
     bad = storage.stash(leaks(docs, benchmark, id_col=id_col, **kw).select(F.col(id_col).alias("leaking")).distinct())
     return docs.join(storage.hinted(bad, bad.count(), 16), docs[id_col].cast("long") == bad["leaking"], "left_anti")

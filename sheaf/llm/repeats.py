@@ -8,6 +8,9 @@ cover is sent to one place, and the suffixes that start at equal distances from
 mergesort. Two suffixes are compared by the length of their common extension, found by binary search over prefix
 polynomial hashes, so a comparison takes logarithmically many steps. Neighbours that agree on ``least``
 words are compared word by word before they count, so hash collisions don't.
+
+An anchor that occurs more than ``CROWD`` times is not sorted in one place: each window of its stretches becomes a row of two independent hashes, 128 bits in all, and
+equal ones find their first occurrence by aggregation.
 """
 
 from __future__ import annotations
@@ -25,6 +28,7 @@ from sheaf.llm.tables import id_and_text, spare_name
 from sheaf.llm.textops import NOT_SPACE, Words, lean, mix, powers, raw_bytes, slices, words
 
 LEAST, GRAM = 50, 12
+CROWD = 1 << 16
 _MUL = np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -306,26 +310,70 @@ def _sorter(least: int, most: int = 1 << 20):
     return run
 
 
-def repeated_ranges(docs: DataFrame, least: int, gram: int, keep: list[str]) -> DataFrame:
+def _window_rows(least: int):
+    """(h1, h2, id, mark, at) of each window of the wanted stretches."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids, mark = b["id"].to_numpy(), b["mark"].to_numpy()
+            spots = b["spots"]
+            ends = spots.offsets.to_numpy() - spots.offsets[0].as_py()
+            flat = spots.flatten()
+            first, last = (flat.field(k).to_numpy(zero_copy_only=False) for k in ("first", "last"))
+            for lo, hi in slices(b["text"]):
+                w = words(b["text"].slice(lo, hi - lo), NOT_SPACE)
+                x, y = ends[lo], ends[hi]
+                if x == y:
+                    continue
+                doc = np.repeat(np.arange(hi - lo), np.diff(ends[lo : hi + 1]))
+                many = (last - first + 1)[x:y].astype(np.int64)
+                doc = np.repeat(doc, many)
+                at = np.repeat(first[x:y].astype(np.int64), many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+                place = w.first[doc] + at
+                up, down = powers(len(w.hash) + 1)
+                both = []
+                for h in (w.hash, mix(w.hash ^ _MUL)):
+                    sums = np.concatenate([[np.uint64(0)], np.cumsum(h * up[: len(h)])])
+                    both.append(mix((sums[place + least] - sums[place]) * down[place]).view(np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1]), pa.array(ids[lo:hi][doc]), pa.array(mark[lo:hi][doc]), pa.array(at.astype(np.int32))], names=["h1", "h2", "id", "mark", "at"])
+
+    return run
+
+
+def _crowded_ranges(rows: DataFrame, least: int, keep: list[str]) -> DataFrame:
+    """As ``_ranges``, of (id, mark, text, spots) with crowded anchors only."""
+    w = storage.stash(rows.mapInArrow(lean(_window_rows(least)), "h1 long, h2 long, id long, mark long, at int"), keep)
+    spot = F.struct("id", "mark", "at")
+    ends = w.groupBy("h1", "h2").agg(F.min(spot).alias("first"), F.max(spot).alias("last")).where("first <> last").drop("last")
+    return w.join(ends.withColumnRenamed("first", "f"), ["h1", "h2"]).select("id", "mark", F.col("at").alias("first"), F.col("at").alias("last"), (spot != F.col("f")).alias("again")).distinct()
+
+
+def repeated_ranges(docs: DataFrame, least: int, gram: int, keep: list[str], crowd: int = CROWD) -> DataFrame:
     """Runs of windows that occur again, of (id, text) rows with ``mark``, a hash of the text."""
-    spots = docs.mapInArrow(lean(_anchor_rows(least, gram)), _SPOT)
-    wanted = spots.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("key"))).where("n > 1")
-    per_doc = storage.stash(wanted.groupBy("id", "mark").agg(F.collect_set(F.struct("key", "first", "last", "back")).alias("spots")), keep)
+    spots = storage.stash(docs.mapInArrow(lean(_anchor_rows(least, gram)), _SPOT), keep)
+    often = storage.stash(spots.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), keep)
+    many = often.where(F.col("n") > crowd).select("key")
+    counts = often.count()
+    # a key that occurs twice takes two rows of spots at least, so this is small only if the corpus repeats little
+    wanted = spots.join(storage.hinted(often, counts, 16), "key").select(*spots.columns, (F.col("n") > crowd).alias("full"))
+    spot = F.struct("key", "first", "last", "back")
+    per_doc = storage.stash(wanted.groupBy("id", "mark", "full").agg(F.collect_set(spot).alias("spots")), keep)
     size = per_doc.agg(F.sum(F.size("spots") * 24 + 32).alias("b")).first()["b"] or 0
-    pieces = docs.join(storage.hinted(per_doc, 1, size), ["id", "mark"]).select("id", "mark", "text", "spots")
-    pieces = pieces.mapInArrow(lean(_cut_rows(least)), _SPOT + ", piece binary")
-    return pieces.repartition("key").sortWithinPartitions("key").mapInArrow(lean(_sorter(least)), "id long, mark long, first int, last int, again boolean")
+    rows = docs.join(storage.hinted(per_doc, 1, size), ["id", "mark"]).select("id", "mark", "text", "spots", "full")
+    pieces = rows.where("not full").drop("full").mapInArrow(lean(_cut_rows(least)), _SPOT + ", piece binary")
+    out = pieces.repartition("key").sortWithinPartitions("key").mapInArrow(lean(_sorter(least)), "id long, mark long, first int, last int, again boolean")
+    return out.union(_crowded_ranges(rows.where("full").drop("full"), least, keep)) if many.limit(1).count() else out
 
 
-def _marked_spans(docs: DataFrame, least: int, gram: int, keep: list[str]) -> DataFrame:
-    r = repeated_ranges(docs, least, gram, keep).withColumn("end", F.col("last") + least)
+def _marked_spans(docs: DataFrame, least: int, gram: int, keep: list[str], crowd: int = CROWD) -> DataFrame:
+    r = repeated_ranges(docs, least, gram, keep, crowd).withColumn("end", F.col("last") + least)
     by = Window.partitionBy("id", "mark", "again").orderBy("first", "end")
     reach = F.max("end").over(by.rowsBetween(Window.unboundedPreceding, -1))
     r = r.withColumn("new", F.when(F.col("first") <= reach, 0).otherwise(1)).withColumn("island", F.sum("new").over(by.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
     return r.groupBy("id", "mark", "again", "island").agg(F.min("first").alias("start_word"), F.max("end").alias("end_word")).drop("island")
 
 
-def spans(docs: DataFrame, *, least: int = LEAST, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def spans(docs: DataFrame, *, least: int = LEAST, gram: int = GRAM, crowd: int = CROWD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, start_word, end_word, again) of the passages of ``least`` words or more that occur more than once.
 
     Words count from 0, ``end_word`` is excluded. Spans with ``again`` true are covered by windows of which
@@ -336,7 +384,7 @@ def spans(docs: DataFrame, *, least: int = LEAST, gram: int = GRAM, id_col: str
     """
     old: list[str] = []
     d = id_and_text(docs, id_col, text_col).withColumn("mark", F.xxhash64("text"))
-    out = storage.stash(_marked_spans(d, least, gram, old))
+    out = storage.stash(_marked_spans(d, least, gram, old, crowd))
     storage.discard(docs.sparkSession, old)
     return out.select(F.col("id").alias(id_col), "start_word", "end_word", "again").distinct()
 
@@ -375,7 +423,8 @@ def without_repeats(docs: DataFrame, *, least: int = LEAST, gram: int = GRAM, id
     """``docs`` without the words of repeated passages, but for their first occurrence.
 
     A text that is cut loses the words of its spans and white space at its ends; ``count_col``, if there, becomes its new
-    length in characters. A document of which nothing is left goes. All others stay as they are, and so do rows without an id.
+    length in characters. A document of which nothing is left goes. All others stay as they are, and so do rows without an id and null, empty and short texts. Rows that
+    repeat id and text are cut alike; an empty table gives an empty result.
     """
     old: list[str] = []
     spark = docs.sparkSession

@@ -10,7 +10,7 @@ import atexit
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A join side is broadcast only if its estimated size is under this: each of a thousand executors gets a copy.
@@ -83,11 +83,14 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     now: list[str] = []
     e = stash(edges.select(F.col(a).cast("long").alias("u"), F.col(b).cast("long").alias("v")).where("u <> v").distinct(), now)
     last = None
+    # the least neighbour of each node is aggregated before it is joined, so that no centre of a large star is collected in one place
+    def lowest(d: DataFrame) -> DataFrame:
+        return d.join(d.groupBy("u").agg(F.min("v").alias("least")), "u").withColumn("m", F.least("u", "least"))
+
     while True:
         both = e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = F.min("v").over(Window.partitionBy("u"))
-        large = both.withColumn("m", F.least("u", least)).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        small = large.withColumn("m", least).select(F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = lowest(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        small = lowest(large).select(F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         new: list[str] = []
         e2 = stash(small, new)
         sign = e2.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()

@@ -131,8 +131,9 @@ def test_repeats_against_brute_force(spark):
     shared = [prose(r, n) for n in (50, 49, 70, 200)]
     rows = [(i, " ".join(r.choice([prose(r, r.randrange(0, 60)), r.choice(shared)]) for _ in range(r.randrange(1, 6)))) for i in range(40)]
     rows += [(40, " ".join(["again"] * 130)), (41, "same same " * 60)]
-    got = {tuple(x) for x in repeats.spans(table(spark, rows)).collect()}
-    assert got == brute_spans(rows)
+    for crowd in (repeats.CROWD, 3):  # in one place, and by aggregation
+        got = {tuple(x) for x in repeats.spans(table(spark, rows), crowd=crowd).collect()}
+        assert got == brute_spans(rows)
 
 
 def test_repeats_of_awkward_tables(spark):
