@@ -9,6 +9,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import SparkSession
 
 _rng = np.random.default_rng(0x5EAF)
 _TABLE = _rng.integers(0, 2**64, 256, dtype=np.uint64)
@@ -74,10 +75,17 @@ def raw_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 Batches = Iterator[pa.RecordBatch]
+BATCH, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20
 
 
 def lean(run: Callable[[Batches], Batches]) -> Callable[[Batches], Batches]:
-    """``run`` for ``mapInArrow``; what it has freed goes back to the system when a task ends, as workers live on for other tasks."""
+    """``run`` for ``mapInArrow``; what it has freed goes back to the system when a task ends, as workers live on for other tasks.
+
+    Batches are bounded by bytes, not only by rows: very long texts would make them, and their copies in the JVM, as long. A session that was begun with a bound keeps it.
+    """
+    spark = SparkSession.getActiveSession()
+    if spark is not None and not spark.sparkContext.getConf().contains(BATCH):
+        spark.conf.set(BATCH, str(BATCH_BYTES))
 
     @functools.wraps(run)
     def wrapped(batches: Batches) -> Batches:
