@@ -12,6 +12,7 @@ from sheaf.functions import numbers as N
 from sheaf.functions import similarity as S
 from sheaf.functions import text as X
 from sheaf.operators import classify, evaluate, merge, model, pages, prompts, split, tables
+from sheaf.plans.documents import Documents
 from sheaf.sources import mime
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -557,17 +558,21 @@ def printed_report(spark: SparkSession, d: str) -> DataFrame:
 # --- what models write, and what they are sent
 
 
-@query("SELECT event_id, props AS first_json FROM events")
+@query("SELECT event_id, CASE WHEN event_id % 4 > 1 THEN props END AS first_json FROM events")
 def extract_json_first(spark: SparkSession, d: str) -> DataFrame:
-    said = F.concat(F.lit("Here it is: "), F.col("props"), F.lit(" and {more}"))
+    """Texts without JSON, with a nested object, which the first closing brace breaks, and with two objects."""
+    i = F.col("event_id") % 4
+    said = F.when(i == 0, F.lit("no JSON } here")).when(i == 1, F.lit('so {"a": {"b": 1}} it is')).otherwise(F.concat(F.lit("Here it is: "), F.col("props"), F.lit(" and {more}")))
     return table(spark, d, "events").select("event_id", X.first_json(said).alias("first_json"))
 
 
-@query("""SELECT event_id, (props->>'k')::BIGINT AS k, true AS valid FROM events""")
+@query("""SELECT event_id, CASE WHEN event_id % 6 < 3 THEN (props->>'k')::BIGINT WHEN event_id % 6 = 3 THEN 7 END AS k, event_id % 6 < 4 AS valid FROM events""")
 def extract_thinking_json(spark: SparkSession, d: str) -> DataFrame:
-    i = F.col("event_id") % 3
+    """Fenced with a language, fenced, bare, nested, broken off, and without any JSON."""
+    i = F.col("event_id") % 6
     p = F.col("props")
-    said = F.when(i == 0, F.concat(F.lit("<think>hm</think>\n```json\n"), p, F.lit("\n```"))).when(i == 1, F.concat(F.lit("so ```\n"), p, F.lit("```"))).otherwise(F.concat(F.lit("It is "), p))
+    said = F.when(i == 0, F.concat(F.lit("<think>hm</think>\n```json\n"), p, F.lit("\n```"))).when(i == 1, F.concat(F.lit("so ```\n"), p, F.lit("```"))).when(i == 2, F.concat(F.lit("It is "), p))
+    said = said.when(i == 3, F.lit('well {"k": 7, "more": {"k": 1}} then')).when(i == 4, F.lit('{"k": 5, "cut')).otherwise(F.lit("I don't know"))
     r = schema.read(X.thinking_json(said), schema.contract("k BIGINT"))
     return table(spark, d, "events").select("event_id", r.alias("r")).select("event_id", "r.parsed.k", "r.valid")
 
@@ -580,9 +585,12 @@ def concat_json_parts(spark: SparkSession, d: str) -> DataFrame:
     return t.select("event_id", "whole", F.get_json_object("whole", "$.k").cast("long").alias("k"))
 
 
-@query("SELECT event_id, contains(props, '{') OR contains(props, '[') AS continues FROM events")
+@query("SELECT event_id, CASE event_id % 5 WHEN 0 THEN false WHEN 1 THEN false WHEN 2 THEN false WHEN 3 THEN true ELSE contains(props, '{') OR contains(props, '[') END AS continues FROM events")
 def json_continuation(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "events").select("event_id", X.continues_json(F.col("props")).alias("continues"))
+    """Null, empty and plain texts, an open list, and objects."""
+    i = F.col("event_id") % 5
+    said = F.when(i == 1, "").when(i == 2, "plain, no").when(i == 3, "a [1, 2").when(i == 4, F.col("props"))
+    return table(spark, d, "events").select("event_id", X.continues_json(said).alias("continues"))
 
 
 @query(
@@ -595,13 +603,90 @@ def batch_jsonl(spark: SparkSession, d: str) -> DataFrame:
     return j.select("custom_id", at("$.method").alias("method"), at("$.body.model").alias("model"), at("$.body.max_tokens").cast("int").alias("max_tokens"), at("$.body.messages[0].role").alias("first_role"), at("$.body.messages[1].content").alias("content"))
 
 
-@query("SELECT event_id, CASE event_type WHEN 'error' THEN 'failed' WHEN 'click' THEN 'queued' WHEN 'view' THEN 'processing' ELSE 'completed' END AS status FROM events")
+_STATES = "['validating','in_progress','finalizing','completed','failed','expired','cancelling','cancelled',' Completed ','?']"
+
+
+@query(f"""SELECT event_id, CASE lower(trim(s)) WHEN 'validating' THEN 'queued' WHEN 'in_progress' THEN 'processing' WHEN 'finalizing' THEN 'processing' WHEN 'completed' THEN 'completed' ELSE 'failed' END AS status
+FROM (SELECT event_id, {_STATES}[1 + event_id % 10] AS s FROM events)""")
 def batch_status_map(spark: SparkSession, d: str) -> DataFrame:
-    e = F.col("event_type")
-    state = F.when(e == "error", "expired").when(e == "click", "validating").when(e == "view", "in_progress").otherwise("completed")
+    states = [x.strip("'[]") for x in _STATES.split(",")]
+    state = F.element_at(F.array(*map(F.lit, states)), (1 + F.col("event_id") % 10).cast("int"))
     return table(spark, d, "events").select("event_id", X.status_name(state).alias("status"))
 
 
+def _first_word(prompt: str) -> str:
+    """A model that reads the first word of the content."""
+    import json
+    import re
+
+    m = re.match(r"##Content\n\n([A-Za-z]+)", prompt)
+    return json.dumps({"first": m.group(1)} if m else {})
+
+
+def _last_candidate(prompt: str) -> str:
+    """A model that settles a conflict by the last candidate."""
+    import json
+
+    line = next(x for x in prompt.split("\n") if x.startswith("first: "))
+    return json.dumps({"first": {"value": line.removeprefix("first: ").split(" | ")[-1], "confidence": 9}})
+
+
+@query(
+    f"""SELECT conv_id, coalesce(arg_max(tok, p), '') AS first FROM (SELECT conv_id, nullif(regexp_extract(content, '^[A-Za-z]+'), '') AS tok, min(page_no) AS p FROM {_CONV} GROUP BY 1, 2) GROUP BY 1"""
+)
+def model_conflicts(spark: SparkSession, d: str) -> DataFrame:
+    """A call a page, merged; what pages contradict each other in is settled by a second model."""
+    p = _conversation_pages(spark, d).select("conv_id", "page_no", "content")
+    return Documents(p, "conv_id").resolve(_first_word, schema.contract("first STRING"), _last_candidate)
+
+
+_SPEAKS = "CASE WHEN contains(lower(text), '{a}') THEN '{x}' WHEN contains(lower(text), '{b}') THEN '{y}' ELSE 'Unknown' END"
+
+
+@query(
+    f"""WITH v AS (SELECT doc_id, {_SPEAKS.format(a='the', x='english', b='und', y='german')} AS a, {_SPEAKS.format(a='and', x='english', b='der', y='german')} AS b, {_SPEAKS.format(a='que', x='romance', b='zz', y='none')} AS c FROM documents)
+SELECT doc_id, CASE WHEN a = b THEN a ELSE c END AS name, CASE WHEN a = b THEN CASE a WHEN 'english' THEN 9 WHEN 'german' THEN 8 ELSE 1 END ELSE CASE c WHEN 'romance' THEN 7 WHEN 'none' THEN 2 ELSE 1 END END::INTEGER AS confidence,
+CASE WHEN a = b THEN 0 ELSE 1 END::INTEGER AS layer FROM v"""
+)
+def model_layers(spark: SparkSession, d: str) -> DataFrame:
+    """Two models asked about all documents, a third about those on which they differ."""
+    p = table(spark, d, "documents").select("doc_id", F.lit(1).alias("page_no"), F.col("text").alias("content"))
+    first = [model.KeywordBackend([("the", "english", 9), ("und", "german", 8)]), model.KeywordBackend([("and", "english", 9), ("der", "german", 8)])]
+    return Documents(p).classify([first, [model.KeywordBackend([("que", "romance", 7), ("zz", "none", 2)])]])
+
+
+@query(f"SELECT doc_id, nullif(regexp_extract(text, '[0-9]{{3,}}'), '') AS digits FROM documents WHERE {_strip('text')} <> ''")
+def model_chunks(spark: SparkSession, d: str) -> DataFrame:
+    """A call a chunk; the first chunk that has the field gives it."""
+    t = table(spark, d, "documents").select("doc_id", F.col("text").alias("content"))
+    return model.extracted_by_chunk(t, model.RegexBackend({"digits": r"([0-9]{3,})"}), schema.contract("digits STRING"), "doc_id", 200)
+
+
+@query(f"SELECT conv_id, page_no, CASE WHEN content = '' THEN '' WHEN page_no % 3 = 0 THEN '<!-- Error processing page ' || page_no || ': ValueError: no -->' ELSE '# ' || content END AS markdown FROM {_CONV}")
+def model_markdown(spark: SparkSession, d: str) -> DataFrame:
+    """A call a page; one that fails leaves a comment."""
+    p = _conversation_pages(spark, d).select("conv_id", "page_no", F.concat(F.when(F.col("page_no") % 3 == 0, "!").otherwise(""), "content").alias("content"))
+
+    def backend(prompt: str) -> str:
+        content = prompt.split("\n\n", 1)[1]
+        if content.startswith("!") and len(content) > 1:
+            raise ValueError("no")
+        return "" if content in ("", "!") else "# " + content
+
+    return model.as_markdown(p, backend, "conv_id")
+
+
+@query(f"SELECT count(*) AS documents, round(avg(w::INTEGER), 9) AS accuracy FROM (SELECT doc_id, bool_and(matched) AS w FROM ({_LONG}) GROUP BY 1)")
+def evaluation_run(spark: SparkSession, d: str) -> DataFrame:
+    """Documents, predictions and labels to results in one call."""
+    p = table(spark, d, "documents").select("doc_id", F.lit(1).alias("page_no"), F.col("text").alias("content"))
+    labels = table(spark, d, "labels").join(table(spark, d, "documents").select("doc_id"), "doc_id").withColumn("parity", F.col("doc_id") % 2)
+    fields = ["quality", "toxic", "parity"]
+    wide = _predicted(spark, d).groupBy("doc_id").agg(*[F.max(F.when(F.col("field") == f, F.col("predicted"))).alias(f) for f in fields])
+    config = spark.createDataFrame([("toxic", "NUMERIC", 0.8, 0.01)], "field string, kind string, threshold double, tolerance double")
+    return Documents(p).evaluate(wide, labels, fields, config)["documents"].withColumn("accuracy", F.round("accuracy", 9))
+
+
 @query("SELECT doc_id, base64(encode(text)) AS encoded, text AS plain FROM documents")
 def base64_round_trip(spark: SparkSession, d: str) -> DataFrame:
     t = table(spark, d, "documents").select("doc_id", X.data_uri(F.encode("text", "UTF-8"), "text/plain").alias("uri"))
