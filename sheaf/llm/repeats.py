@@ -354,8 +354,8 @@ def repeated_ranges(docs: DataFrame, least: int, gram: int, keep: list[str], cro
     often = storage.stash(spots.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), keep)
     many = often.where(F.col("n") > crowd).select("key")
     counts = often.count()
-    # a key that occurs twice takes two rows of spots at least, so this is small only if the corpus repeats little; in a broadcast table a row takes some 230 bytes
-    wanted = spots.join(storage.hinted(often, counts, 240), "key").select(*spots.columns, (F.col("n") > crowd).alias("full"))
+    # a key that occurs twice takes two rows of spots at least, so this is small only if the corpus repeats little
+    wanted = spots.join(storage.hinted(often, counts, 24), "key").select(*spots.columns, (F.col("n") > crowd).alias("full"))
     spot = F.struct("key", "first", "last", "back")
     per_doc = storage.stash(wanted.groupBy("id", "mark", "full").agg(F.collect_set(spot).alias("spots")), keep)
     size = per_doc.agg(F.sum(F.size("spots") * 24 + 32).alias("b")).first()["b"] or 0

@@ -200,3 +200,21 @@ def test_estimates_are_unbiased():
 def test_components(spark):
     e = spark.createDataFrame([(1, 2), (2, 3), (9, 8), (4, 4), (None, 1), (3, 1)], "a long, b long")
     assert {tuple(x) for x in storage.connected_components(e).collect()} == {(1, 1), (2, 1), (3, 1), (8, 8), (9, 8)}
+
+
+def test_components_of_many_edges(spark):
+    r = random.Random(6)
+    edges = [(i, i + 1) for i in range(1000, 1090)] + [(5, i) for i in range(6, 60)] + [(r.randrange(100, 400), r.randrange(100, 400)) for _ in range(150)]
+    root = {x: x for e in edges for x in e}
+    for _ in root:
+        for x, y in edges:
+            root[x] = root[y] = min(root[x], root[y])
+    linked = {x for x, y in edges if x != y} | {y for x, y in edges if x != y}
+    e = spark.createDataFrame(edges, "a long, b long").repartition(3)
+    for alone in (storage.ALONE, 0):  # in one task, and in rounds
+        assert {tuple(x) for x in storage.connected_components(e, alone=alone).collect()} == {(x, root[x]) for x in linked}
+
+
+def test_broadcast_rows_count_as_they_are_in_memory():
+    # a million ids are 8 MB as such, and 200 MB and more in a broadcast table, which the driver builds
+    assert storage.small_enough(20_000, 8) and not storage.small_enough(1_000_000, 8)
