@@ -218,3 +218,22 @@ def test_components_of_many_edges(spark):
 def test_broadcast_rows_count_as_they_are_in_memory():
     # a million ids are 8 MB as such, and 200 MB and more in a broadcast table, which the driver builds
     assert storage.small_enough(20_000, 8) and not storage.small_enough(1_000_000, 8)
+
+
+def _in_one_bucket(spark, kinds, count):
+    """Texts of one bucket in every tree, by label in an order that mixes ``kinds`` kinds of sketches."""
+    r = np.random.default_rng(7)
+    sketches = [[int(x) for x in r.integers(-(2**63), 2**63, 4)] for _ in range(kinds)]
+    rows = [(i, *sketches[i % kinds], bytes(8), int(i).to_bytes(8, "big")) for i in range(count)]
+    return spark.createDataFrame(rows, "node long, k1 long, k2 long, k3 long, k4 long, keys binary, labels binary")
+
+
+def _groups(nodes, crowd):
+    links = ngram_join.forest_links(nodes, 1, 5, 3, 0.5, 0.98, crowd, [])
+    return {x[0]: x[1] for x in storage.connected_components(links, *links.columns).collect()}
+
+
+def test_all_texts_of_a_bucket_are_candidates(spark):
+    # alike texts are seven places apart, in a bucket of a few texts and in one of many
+    for count in (14, 84):
+        assert _groups(_in_one_bucket(spark, 7, count), 1 << 14) == {i: i % 7 for i in range(count)}
