@@ -237,3 +237,8 @@ def test_all_texts_of_a_bucket_are_candidates(spark):
     # alike texts are seven places apart, in a bucket of a few texts and in one of many
     for count in (14, 84):
         assert _groups(_in_one_bucket(spark, 7, count), 1 << 14) == {i: i % 7 for i in range(count)}
+
+
+def test_crowded_buckets_lose_no_candidates(spark):
+    found = _groups(_in_one_bucket(spark, 7, 90), 20)
+    assert len(found) == 90 and all(found[i] == found[i % 7] for i in range(90))
