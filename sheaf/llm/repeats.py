@@ -358,7 +358,7 @@ def repeated_ranges(docs: DataFrame, least: int, gram: int, keep: list[str], cro
     wanted = spots.join(storage.hinted(often, counts, 24), "key").select(*spots.columns, (F.col("n") > crowd).alias("full"))
     spot = F.struct("key", "first", "last", "back")
     per_doc = storage.stash(wanted.groupBy("id", "mark", "full").agg(F.collect_set(spot).alias("spots")), keep)
-    size = per_doc.agg(F.sum(F.size("spots") * 24 + 32).alias("b")).first()["b"] or 0
+    size = per_doc.agg(F.sum(F.size("spots") * 24 + 32 + storage.ROW_BYTES).alias("b")).first()["b"] or 0
     rows = docs.join(storage.hinted(per_doc, 1, size), ["id", "mark"]).select("id", "mark", "text", "spots", "full")
     pieces = rows.where("not full").drop("full").mapInArrow(lean(_cut_rows(least)), _SPOT + ", piece binary")
     out = pieces.repartition("key").sortWithinPartitions("key").mapInArrow(lean(_sorter(least)), "id long, mark long, first int, last int, again boolean")
@@ -431,7 +431,7 @@ def without_repeats(docs: DataFrame, *, least: int = LEAST, gram: int = GRAM, id
     d = id_and_text(docs, id_col, text_col).withColumn("mark", F.xxhash64("text"))
     cut = storage.stash(_marked_spans(d, least, gram, old).where("again").groupBy("id", "mark").agg(F.collect_list(F.struct("start_word", "end_word")).alias("spans")))
     storage.discard(spark, old)
-    size = cut.agg(F.sum(F.size("spans") * 16 + 32).alias("b")).first()["b"] or 0
+    size = cut.agg(F.sum(F.size("spans") * 16 + 32 + storage.ROW_BYTES).alias("b")).first()["b"] or 0
     names = [spare_name(docs, n) for n in ("cut_id", "cut_mark", "cut_spans")]
     cut = storage.hinted(cut.toDF(*names), 1, size)
     joined = docs.join(cut, (docs[id_col].cast("long") == cut[names[0]]) & (F.xxhash64(F.coalesce(docs[text_col], F.lit(""))) == cut[names[1]]), "left").drop(names[0], names[1])
