@@ -54,6 +54,22 @@ def estimate(signs: np.ndarray, factor: np.ndarray, levels: np.ndarray, low: np.
     return (one + two) / 2, sure * (spread[x, None] + spread[None, y]) / 2
 
 
+def rounded(unit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(8-bit coordinates, their lows and steps) of unit vectors."""
+    low = unit.min(1)
+    step = np.maximum((unit.max(1) - low) / 255, 1e-12)
+    return np.rint((unit - low[:, None]) / step[:, None]).astype(np.uint8), low, step
+
+
+def barely(fine: np.ndarray, low: np.ndarray, step: np.ndarray, x: slice, y: slice) -> tuple[np.ndarray, np.ndarray]:
+    """Inner products of the 8-bit vectors in x with those in y, and how far the vectors' own may be from them."""
+    full = lambda s: (fine[s] * step[s, None] + low[s, None]).astype(np.float32)
+    # a vector is off by half a step a coordinate at most, so by e = step * sqrt(dim) / 2 in length; products by e1 + e2 + e1 * e2, and single precision's share
+    off = lambda s: step[s] * math.sqrt(fine.shape[1]) / 2
+    e1, e2 = off(x)[:, None], off(y)[None]
+    return full(x) @ full(y).T, e1 + e2 + e1 * e2 + 1e-5
+
+
 def band_plan(count: int, least: float, recall: float, bucket: int = 200) -> tuple[int, int]:
     """(bits a band, bands): buckets of about ``bucket`` vectors, and the recall at the threshold."""
     bits = max(3, math.ceil(math.log2(max(1, count) / bucket))) if count > bucket else 3
@@ -67,6 +83,8 @@ def _matrix(column: pa.Array) -> np.ndarray:
 
 _CODE = "signs binary, levels binary, factor double, low double, step double"
 _CODES = [x.split()[0] for x in _CODE.split(", ")]
+_FINE = "fine binary, fine_low double, fine_step double"
+_FINES = [x.split()[0] for x in _FINE.split(", ")]
 
 
 def _code_rows(dim: int):
@@ -78,10 +96,12 @@ def _code_rows(dim: int):
             if not b.num_rows:
                 continue
             v = _matrix(b["v"])
-            signs, factor, levels, low, step = encode(v / np.linalg.norm(v, axis=1, keepdims=True), turn, b["node"].to_numpy())
+            unit = v / np.linalg.norm(v, axis=1, keepdims=True)
+            signs, factor, levels, low, step = encode(unit, turn, b["node"].to_numpy())
+            fine, fine_low, fine_step = rounded(unit)
             packed = [r.tobytes() for r in np.packbits(signs, axis=1)]
             four = [r.tobytes() for r in (np.pad(levels, ((0, 0), (0, dim % 2)))[:, 0::2] << 4 | np.pad(levels, ((0, 0), (0, dim % 2)))[:, 1::2])]
-            yield pa.RecordBatch.from_arrays([b["node"], b["id"], b["v"], pa.array(packed, pa.binary()), pa.array(four, pa.binary()), pa.array(factor), pa.array(low), pa.array(step)], names=["node", "id", "v", *_CODES])
+            yield pa.RecordBatch.from_arrays([b["node"], b["id"], b["v"], pa.array(packed, pa.binary()), pa.array(four, pa.binary()), pa.array(factor), pa.array(low), pa.array(step), pa.array([r.tobytes() for r in fine], pa.binary()), pa.array(fine_low), pa.array(fine_step)], names=["node", "id", "v", *_CODES, *_FINES])
 
     return run
 
@@ -89,7 +109,7 @@ def _code_rows(dim: int):
 def _band_rows(dim: int, bits: int, bands: int, codes: bool):
     """One row a band: the bucket, and with ``codes`` what the estimates need."""
     planes = np.random.default_rng(99).standard_normal((bands * bits, dim))
-    more = _CODES if codes else []
+    more = [*_CODES, *_FINES] if codes else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -119,10 +139,15 @@ def _bucket_links(dim: int, least: float, sure: float, block: int = 1024):
         if t.num_rows < 2:
             return
         node, code = t["node"].to_numpy(), _codes_of(t, dim)
+        fine = np.frombuffer(b"".join(t["fine"].to_pylist()), np.uint8).reshape(t.num_rows, -1), t["fine_low"].to_numpy(), t["fine_step"].to_numpy()
         for i in range(0, len(node), block):
             for j in range(i, len(node), block):
                 mean, half = estimate(*code, slice(i, i + block), slice(j, j + block), sure)
-                x, y = np.nonzero(mean + half >= least)
+                open_ = mean + half >= least
+                if open_.any():
+                    mean, half = barely(*fine, slice(i, i + block), slice(j, j + block))
+                    open_ &= mean + half >= least
+                x, y = np.nonzero(open_)
                 own = np.unique(np.concatenate([x + i, y + j]))
                 root = own[crowds.roots(np.searchsorted(own, x + i), np.searchsorted(own, y + j), len(own))]
                 far = root != own
@@ -201,17 +226,17 @@ def vector_classes(
     dim = most["dim"]
     v = v.where(F.size("v") == dim).withColumn("key", F.sha2(F.concat_ws(",", F.col("v").cast("array<string>")), 256))
     one = storage.stash(v.groupBy("key").agg(F.min("id").alias("id"), F.first("v").alias("v")).withColumn("node", F.monotonically_increasing_id()), keep)
-    nodes = storage.stash(one.select("node", "id", "v").mapInArrow(lean(_code_rows(dim)), f"node long, id long, v array<double>, {_CODE}"), keep)
+    nodes = storage.stash(one.select("node", "id", "v").mapInArrow(lean(_code_rows(dim)), f"node long, id long, v array<double>, {_CODE}, {_FINE}"), keep)
     bits, bands = band_plan(nodes.count(), least, recall)
     spots = nodes.select("node", "v").mapInArrow(lean(_band_rows(dim, bits, bands, False)), "band int, bucket long, node long")
     full = storage.stash(spots.groupBy("band", "bucket").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("first")).where(F.col("n") > crowd), keep)
-    rows = nodes.drop("id").mapInArrow(lean(_band_rows(dim, bits, bands, True)), f"band int, bucket long, node long, {_CODE}")
+    rows = nodes.drop("id").mapInArrow(lean(_band_rows(dim, bits, bands, True)), f"band int, bucket long, node long, {_CODE}, {_FINE}")
     crowded = storage.hinted(full.select("band", "bucket", "first"), full.count(), 24)
     some = rows.join(crowded.drop("first"), ["band", "bucket"], "left_anti").repartition("band", "bucket").sortWithinPartitions("band", "bucket")
     stars = spots.join(crowded, ["band", "bucket"]).select(F.col("node").alias("a"), F.col("first").alias("b")).where("a <> b").distinct()
     groups = storage.connected_components(some.mapInArrow(lean(_bucket_links(dim, least, sure)), "a long, b long").union(stars))
     member = nodes.select("node", F.col("node").alias("id"), F.lit(0).cast("long").alias("s1"), F.lit(dim * 8).alias("size")).join(groups.withColumnRenamed("component", "group"), "node")
-    code = nodes.drop("id")
+    code = nodes.drop("id", *_FINES)
     attach = lambda units: crowds.gathered(code.join(storage.hinted(units, units.count(), 72), "node"), "v", *_CODES)
     metric = crowds.Metric(attach, _comparer(dim, least, sure), _angles(), math.acos(min(1.0, least)) / math.pi)
     found = storage.stash(crowds.verified(storage.stash(member, keep), metric, block, block * dim * 16, rounds, keep), keep)

@@ -4,6 +4,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -242,3 +243,23 @@ def test_all_texts_of_a_bucket_are_candidates(spark):
 def test_crowded_buckets_lose_no_candidates(spark):
     found = _groups(_in_one_bucket(spark, 7, 90), 20)
     assert len(found) == 90 and all(found[i] == found[i % 7] for i in range(90))
+
+
+def test_bounds_of_rounded_vectors_always_hold():
+    r = np.random.default_rng(2)
+    x = r.standard_normal((300, 64)) * r.uniform(0.1, 3, 64)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    mean, half = embeddings.barely(*embeddings.rounded(x), slice(0, 150), slice(150, 300))
+    assert (np.abs(mean - x[:150] @ x[150:].T) <= half).all() and half.max() < 0.05
+
+
+def test_unlike_vectors_of_a_bucket_are_no_group():
+    # cosines of about 0.75, which confidence bounds alone leave in
+    r = np.random.default_rng(4)
+    v = r.standard_normal(64) * 1.7 + r.standard_normal((200, 64))
+    unit = v / np.linalg.norm(v, axis=1, keepdims=True)
+    assert np.triu(unit @ unit.T, 1).max() < 0.9
+    rows = pa.RecordBatch.from_arrays([pa.array(np.arange(200)), pa.array(np.arange(200)), pa.array(list(v), pa.list_(pa.float64()))], names=["node", "id", "v"])
+    one = next(embeddings._code_rows(64)(iter([rows])))
+    one = one.append_column("band", pa.array(np.zeros(200, np.int32))).append_column("bucket", pa.array(np.zeros(200, np.int64)))
+    assert not list(embeddings._bucket_links(64, 0.95, 4.0)(iter([one])))
