@@ -357,12 +357,16 @@ def repeated_ranges(docs: DataFrame, least: int, gram: int, keep: list[str], cro
     # a key that occurs twice takes two rows of spots at least, so this is small only if the corpus repeats little
     wanted = spots.join(storage.hinted(often, counts, 24), "key").select(*spots.columns, (F.col("n") > crowd).alias("full"))
     spot = F.struct("key", "first", "last", "back")
-    per_doc = storage.stash(wanted.groupBy("id", "mark", "full").agg(F.collect_set(spot).alias("spots")), keep)
-    size = per_doc.agg(F.sum(F.size("spots") * 24 + 32 + storage.ROW_BYTES).alias("b")).first()["b"] or 0
-    rows = docs.join(storage.hinted(per_doc, 1, size), ["id", "mark"]).select("id", "mark", "text", "spots", "full")
-    pieces = rows.where("not full").drop("full").mapInArrow(lean(_cut_rows(least)), _SPOT + ", piece binary")
+    lists = [F.collect_set(F.when(F.col("full") == full, spot)).alias(name) for name, full in (("spots", False), ("crowded", True))]
+    per_doc = storage.stash(wanted.groupBy("id", "mark").agg(*lists), keep)
+    size = per_doc.agg(F.sum((F.size("spots") + F.size("crowded")) * 24 + 32 + storage.ROW_BYTES).alias("b")).first()["b"] or 0
+    rows = docs.join(storage.hinted(per_doc, 1, size), ["id", "mark"]).select("id", "mark", "text", "spots", "crowded")
+    crowds = many.limit(1).count() > 0
+    if crowds:  # both ways read the texts that are joined once: only they are written, while a second join would shuffle all texts
+        rows = storage.stash(rows, keep)
+    pieces = rows.where(F.size("spots") > 0).drop("crowded").mapInArrow(lean(_cut_rows(least)), _SPOT + ", piece binary")
     out = pieces.repartition("key").sortWithinPartitions("key").mapInArrow(lean(_sorter(least)), "id long, mark long, first int, last int, again boolean")
-    return out.union(_crowded_ranges(rows.where("full").drop("full"), least, keep)) if many.limit(1).count() else out
+    return out.union(_crowded_ranges(rows.where(F.size("crowded") > 0).drop("spots").withColumnRenamed("crowded", "spots"), least, keep)) if crowds else out
 
 
 def _marked_spans(docs: DataFrame, least: int, gram: int, keep: list[str], crowd: int = CROWD) -> DataFrame:

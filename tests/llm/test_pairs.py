@@ -137,6 +137,21 @@ def test_repeats_against_brute_force(spark):
         assert got == brute_spans(rows)
 
 
+def test_crowded_anchors_join_the_texts_once(spark):
+    r = random.Random(6)
+    shared = prose(r, 120)
+    rows = [(i, f"{prose(r, 30)} {shared}" if i % 3 else " ".join(["again"] * 70) + " " + shared) for i in range(9)]
+    seen = spark.sparkContext.accumulator(0)
+
+    def read(x):
+        seen.add(1)
+        return x
+
+    docs = spark.sparkContext.parallelize(rows, 2).map(read).toDF("doc_id long, text string")
+    assert {tuple(x) for x in repeats.spans(docs, crowd=3).collect()} == brute_spans(rows)
+    assert seen.value == 2 * len(rows)  # for anchors, and for the join
+
+
 def test_repeats_of_awkward_tables(spark):
     d = awkward(spark)
     assert {tuple(x) for x in repeats.spans(d).collect()} == {(4, 0, 80, False), (5, 0, 80, True)}
