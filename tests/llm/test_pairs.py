@@ -57,6 +57,19 @@ def test_near_classes_against_brute_force(spark):
     assert len(got & want) >= 0.98 * len(want) and len(got) == len(rows)
 
 
+def test_links_that_buckets_miss_are_found(spark):
+    # one tree with a long prefix finds few of the pairs near the threshold
+    r = random.Random(9)
+    docs = []
+    for _ in range(12):
+        base = prose(r, r.randrange(4, 120)).split()
+        docs += [base, edited(r, base, 0.05), edited(r, base, 0.1), base + prose(r, len(base) // 2).split()]
+    rows = [(i, " ".join(d)) for i, d in enumerate(docs)]
+    want = brute_classes(rows)
+    for crowd in (1 << 14, 3):
+        assert {tuple(x) for x in ngram_join.near_classes(table(spark, rows), trees=1, deep=5, shallow=4, crowd=crowd).collect()} == want
+
+
 def test_crowded_classes_are_exact(spark):
     # one group far larger than a block, tight and loose members, in buckets that are cut into parts
     r = random.Random(3)
