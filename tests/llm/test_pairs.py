@@ -291,3 +291,48 @@ def test_unlike_vectors_of_a_bucket_are_no_group():
     one = next(embeddings._code_rows(64)(iter([rows])))
     one = one.append_column("band", pa.array(np.zeros(200, np.int32))).append_column("bucket", pa.array(np.zeros(200, np.int64)))
     assert not list(embeddings._bucket_links(64, 0.95, 4.0)(iter([one])))
+
+
+def _prefix_rows(texts, least=0.5):
+    """Rows of the prefixes of texts, sorted as ``_shared`` and ``_across`` want them; each text is its own node and group."""
+    batch = pa.RecordBatch.from_arrays([pa.array(texts)], names=["text"])
+    rows = pa.Table.from_batches(list(ngram_join._prefixes(3, least, np.zeros(1 << ngram_join.CELLS, np.uint16))(iter([batch]))))
+    rows = rows.sort_by([("key", "ascending"), ("s1", "ascending")]).combine_chunks()
+    kept = pa.Table.from_batches(list(ngram_join._shared(least)(iter(rows.to_batches()))))
+    seq = ngram_join._sets(pa.array(texts), 3)[1].tolist()
+    node = pa.array([seq.index(x) for x in kept["s1"].to_pylist()], pa.int64())
+    return kept.append_column("node", node).append_column("group", node)
+
+
+def _candidates(texts, least=0.5):
+    pairs = [p.to_pylist() for p in ngram_join._across(least, 1 << 14)(iter(_prefix_rows(texts, least).combine_chunks().to_batches()))]
+    found = {}
+    for p in sum(pairs, []):
+        k, rest, need = found.get((p["u"], p["v"]), (0, p["rest"], p["need"]))
+        found[p["u"], p["v"]] = (k + p["k"], min(rest, p["rest"]), min(need, p["need"]))
+    return {uv for uv, (k, rest, need) in found.items() if k + rest >= need}
+
+
+def test_places_in_prefixes_lose_no_link():
+    # few words, so that most pairs share n-grams, texts of all sizes, and many coefficients about the threshold
+    r = random.Random(12)
+    texts = []
+    for _ in range(40):
+        base = prose(r, r.randrange(3, 400), 12 if r.random() < 0.5 else 400).split()
+        texts += [" ".join(x) for x in (base, edited(r, base, 0.03), edited(r, base, 0.1), edited(r, base, 0.14), base[: len(base) // 2 + 2], base + prose(r, len(base) // 2).split())]
+    texts = list(dict.fromkeys(texts))
+    sets = [grams(t) for t in texts]
+    for least in (0.5, 0.8):
+        want = {(x, y) for y in range(len(texts)) for x in range(y) if len(sets[x] & sets[y]) >= least * len(sets[x] | sets[y])}
+        assert len(want) > 20 and want <= _candidates(texts, least)
+
+
+def test_texts_of_unlike_size_are_not_compared_for_one_n_gram(spark, monkeypatch):
+    # each shares one line with the others, and has half or twice as many words
+    sent = []
+    whole = ngram_join._with_text
+    monkeypatch.setattr(ngram_join, "_with_text", lambda docs, units: sent.append(units.count()) or whole(docs, units))
+    r = random.Random(13)
+    texts = [f"{prose(r, 40 * (1 + k % 2), 10**6)} all rights are reserved {prose(r, 40 * (1 + k % 2), 10**6)}" for k in range(24)]
+    got = {tuple(x) for x in ngram_join.near_classes(table(spark, list(enumerate(texts)))).collect()}
+    assert got == {(i, i, 0) for i in range(24)} and sum(sent) == 0
