@@ -235,12 +235,12 @@ def vector_classes(
     some = rows.join(crowded.drop("first"), ["band", "bucket"], "left_anti").repartition("band", "bucket").sortWithinPartitions("band", "bucket")
     stars = spots.join(crowded, ["band", "bucket"]).select(F.col("node").alias("a"), F.col("first").alias("b")).where("a <> b").distinct()
     groups = storage.connected_components(some.mapInArrow(lean(_bucket_links(dim, least, sure)), "a long, b long").union(stars))
-    member = nodes.select("node", F.col("node").alias("id"), F.lit(0).cast("long").alias("s1"), F.lit(dim * 8).alias("size")).join(groups.withColumnRenamed("component", "group"), "node")
+    member = nodes.select("node", F.col("node").alias("id"), F.lit(0).cast("long").alias("s1"), F.lit(dim * 8).alias("size")).join(storage.shuffled(groups.withColumnRenamed("component", "group")), "node")
     code = nodes.drop("id", *_FINES)
     attach = lambda units: crowds.gathered(code.join(storage.hinted(units, units.count(), 72), "node"), "v", *_CODES)
     metric = crowds.Metric(attach, _comparer(dim, least, sure), _angles(), math.acos(min(1.0, least)) / math.pi)
     found = storage.stash(crowds.verified(storage.stash(member, keep), metric, block, block * dim * 16, rounds, keep), keep)
     placed = crowds.placed(one.select("node", "key", "id"), found, keep)
-    out = storage.stash(v.select("id", "key").join(placed.select("key", "class_id", "links"), "key").select(F.col("id").alias(id_col), "class_id", "links").distinct())
+    out = storage.stash(v.select("id", "key").join(storage.shuffled(placed.select("key", "class_id", "links")), "key").select(F.col("id").alias(id_col), "class_id", "links").distinct())
     storage.discard(spark, keep)
     return out

@@ -332,3 +332,17 @@ def test_texts_of_unlike_size_are_no_candidates_by_one_n_gram():
     r = random.Random(13)
     texts = [f"{prose(r, 40 * (1 + k % 2), 10**6)} all rights are reserved {prose(r, 40 * (1 + k % 2) - 2, 10**6)}" for k in range(24)]
     assert not _candidates(texts)
+
+
+def test_joins_of_any_size_take_no_broadcast(spark, monkeypatch):
+    # Spark would broadcast by the bytes of files, of which rows take many times as much in the driver's memory
+    plans = []
+    whole = storage.stash
+    monkeypatch.setattr(storage, "stash", lambda df, keep=None: plans.append(df._jdf.queryExecution().executedPlan().toString()) or whole(df, keep))
+    monkeypatch.setattr(storage, "BROADCAST_BYTES", -1)
+    r = random.Random(11)
+    base = prose(r, 100).split()
+    rows = [(i, " ".join(edited(r, base, 0.02))) for i in range(20)] + [(i, prose(r, 40)) for i in range(20, 25)]
+    got = {tuple(x) for x in ngram_join.near_classes(table(spark, rows)).collect()}
+    assert got == brute_classes(rows)
+    assert any("SortMergeJoin" in p for p in plans) and not [p for p in plans if "Broadcast" in p]
