@@ -26,10 +26,10 @@ Backend = Callable[[str], str]
 FORBIDDEN, PAGINATE, CONCATENATE = "forbidden", "paginate", "concatenate"
 
 
-def asked(prompts: DataFrame, backend: Backend, key: str = "prompt", tries: int = 2) -> DataFrame:
+def asked(prompts: DataFrame, backend: Backend, key: str = "prompt", tries: int = 2, **read: Column) -> DataFrame:
     """``prompts`` with raw, error and token counts. Distinct prompts are sent; a failure is retried and then is a value, not a failed task.
 
-    A null prompt isn't sent: its row stays, with the error no_content. Answers are joined by the prompt's hash.
+    A null prompt isn't sent: its row stays, with the error no_content. Answers are joined by the prompt's hash. ``read``: columns made of raw, once an answer; without an answer they are null.
     """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -46,12 +46,13 @@ def asked(prompts: DataFrame, backend: Backend, key: str = "prompt", tries: int
                 rows.append((h, raw, error))
             yield pd.DataFrame(rows, columns=["prompt_hash", "raw", "error"])
 
-    hashed = prompts.withColumn("prompt_hash", F.sha2(key, 256))
-    sent = hashed.where(F.col(key).isNotNull()).select("prompt_hash", key).dropDuplicates(["prompt_hash"])
-    answers = sent.mapInPandas(run, "prompt_hash string, raw string, error string")
+    hashed = prompts.withColumn("prompt_hash", F.unhex(F.sha2(key, 256)))
+    # distinct by both columns: the first prompt of each hash would be found by sorting all rows
+    sent = hashed.where(F.col(key).isNotNull()).select("prompt_hash", key).distinct()
+    answers = sent.mapInPandas(run, "prompt_hash binary, raw string, error string").withColumns(read)
     out = hashed.withColumn("input_tokens", F.coalesce(X.token_count(F.col(key)), F.lit(0)).cast("long")).join(answers, "prompt_hash", "left").drop("prompt_hash")
     error = F.when(F.col(key).isNull(), F.lit("no_content")).otherwise(F.col("error"))
-    return out.select(*prompts.columns, "raw", error.alias("error"), "input_tokens", F.coalesce(X.token_count(F.col("raw")), F.lit(0)).cast("long").alias("output_tokens"))
+    return out.select(*prompts.columns, "raw", error.alias("error"), "input_tokens", F.coalesce(X.token_count(F.col("raw")), F.lit(0)).cast("long").alias("output_tokens"), *read)
 
 
 @dataclass(frozen=True)
@@ -147,15 +148,15 @@ def continued(backend: Backend, tries: int = 3) -> Backend:
 def extracted(docs: DataFrame, backend: Backend, contract: T.StructType, key: str, content: str = "content") -> DataFrame:
     """(key, the contract's fields, schema_valid, error): one call a document; what is cut off or doesn't fit is not valid."""
     prompts = docs.select(key, F.concat(F.lit("##Content\n\n"), F.col(content)).alias("prompt"))
-    a = asked(prompts, backend).select(key, "error", schema.read(X.thinking_json(F.col("raw")), contract).alias("r"))
-    return a.select(key, "r.parsed.*", F.col("r.valid").alias("schema_valid"), "error")
+    a = asked(prompts, backend, r=schema.read(X.thinking_json(F.col("raw")), contract))
+    return a.select(key, "r.parsed.*", F.coalesce("r.valid", F.lit(False)).alias("schema_valid"), "error")
 
 
 def extracted_by_page(pages: DataFrame, backend: Backend, contract: T.StructType, key: str, page: str = "page_no", content: str = "content") -> DataFrame:
     """(key, fields as value, candidates, conflict): one call a page, in page order merged; a failed page is all null."""
     relaxed = schema.relaxed(contract)
     prompts = pages.select(key, page, F.concat(F.lit("##Content\n\n"), F.col(content)).alias("prompt"))
-    a = asked(prompts, backend).select(key, page, schema.read(X.thinking_json(F.col("raw")), relaxed)["parsed"].alias("p")).select(key, page, "p.*")
+    a = asked(prompts, backend, p=schema.read(X.thinking_json(F.col("raw")), relaxed)["parsed"]).select(key, page, "p.*")
     texts = tuple(f.name for f in contract.fields if isinstance(f.dataType, T.StringType))
     return merge.scalars(a, [key], [f.name for f in contract.fields], page, texts)
 
