@@ -61,8 +61,10 @@ def rendered(t: T.StructType, indent: str = "") -> str:
 def read(raw: Column, fields: T.StructType) -> Column:
     """(parsed, valid) of JSON text: what doesn't fit is null and not valid; the row stays."""
     with_corrupt = T.StructType([*fields.fields, T.StructField("_corrupt", T.StringType())])
-    parsed = F.from_json(raw, with_corrupt, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})
-    return F.struct(F.struct(*[parsed[f.name].alias(f.name) for f in fields.fields]).alias("parsed"), (raw.isNotNull() & parsed["_corrupt"].isNull()).alias("valid"))
+    parsed = lambda x: F.from_json(x, with_corrupt, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})
+    out = lambda x, p: F.struct(F.struct(*[p[f.name].alias(f.name) for f in fields.fields]).alias("parsed"), (x.isNotNull() & p["_corrupt"].isNull()).alias("valid"))
+    # in arrays of one: as plain expressions text and JSON would be evaluated anew for each field
+    return F.get(F.transform(F.array(raw), lambda x: F.get(F.transform(F.array(parsed(x)), lambda p: out(x, p)), F.lit(0))), F.lit(0))
 
 
 def checked(df: DataFrame, required: list[str], allowed: dict[str, list] | None = None) -> DataFrame:

@@ -333,3 +333,14 @@ def test_command_line(spark, tmp_path):
     assert rows(out["documents"]) == [(1, 1.0)] and '"accuracy":1.0' in spark.read.text(str(tmp_path / "out")).first()[0]
     with pytest.raises(ValueError):
         cli.run(spark, {})
+
+
+def test_answers_are_read_once_and_prompts_not_sorted_for_the_distinct_ones(spark):
+    d = spark.createDataFrame([(1, 'a: "x"'), (2, "a: y"), (3, None)], "k int, content string")
+    backend = model.RegexBackend({"a": r"a: (.+)$", "b": r"b: (.+)$"})
+    got = model.extracted(d, backend, schema.contract("a STRING, b STRING, c STRING"), "k")
+    assert rows(got, "k") == [(1, '"x"', None, None, True, None), (2, "y", None, None, True, None), (3, None, None, None, False, "no_content")]
+    by_page = model.extracted_by_page(d.withColumn("page_no", F.lit(1)), backend, schema.contract("a STRING, b STRING"), "k")
+    for out in (got, by_page):
+        plan = out._jdf.queryExecution()
+        assert "SortAggregate" not in plan.executedPlan().toString() and plan.optimizedPlan().toString().count("from_json(") == 1
